@@ -9,9 +9,20 @@ from vitalstrand.functions.scalars import encounter_type
 from vitalstrand.operators.ranks import hash_ranked, uniform
 
 
-def restrict(df: DataFrame, ids: DataFrame, on: str = "person_id") -> DataFrame:
-    """Rows of ``df`` whose key is in ``ids``; the ids stay a table, never a literal list."""
-    return df.join(ids.select(on), on, "left_semi")
+# ids up to this many (a few tens of MB) are sent to every executor instead of shuffling the signal table
+BROADCAST_IDS = 5_000_000
+
+
+def restrict(df: DataFrame, ids: DataFrame, on: str = "person_id", n_ids: int | None = None) -> DataFrame:
+    """Rows of ``df`` whose key is in ``ids``; the ids stay a table, never a literal list.
+
+    ``n_ids`` is the known row count of ``ids``. Small enough, they are broadcast and the signal table is
+    filtered where it is read; otherwise the optimizer chooses from the sizes it sees.
+    """
+    keys = ids.select(on)
+    if n_ids is not None and n_ids <= BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return df.join(keys, on, "left_semi")
 
 
 # --- code sets -------------------------------------------------------------------------------------

@@ -69,7 +69,10 @@ def daily_totals_filled(steps: DataFrame, spans: DataFrame) -> DataFrame:
 
 def bounded_reference(values: DataFrame, key: list[str], limit: int | None, seed: int) -> DataFrame:
     """At most ``limit`` reference rows, chosen by hash rank rather than by arrival."""
-    return values if limit is None else hash_sample(values, key, limit, seed)
+    if limit is None:
+        return values
+    values = stage(values, "reference")
+    return values if values.count() <= limit else hash_sample(values, key, limit, seed)
 
 
 def hr_reference(hr: DataFrame, minutes: int, pool_hours: bool, limit: int | None, seed: int) -> DataFrame:

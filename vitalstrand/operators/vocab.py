@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitalstrand.config import ID_RANGES, SPECIAL_TOKENS, UNK
 from vitalstrand.functions.scalars import token_text
-from vitalstrand.operators.cohort import prefix_filter, restrict
+from vitalstrand.operators.cohort import prefix_filter
 
 VOCAB_SCHEMA = "token STRING, tid INT, stream STRING, n BIGINT"
 
@@ -52,16 +54,27 @@ def with_codes(facts: DataFrame, key: str, concepts: DataFrame) -> DataFrame:
     return facts.withColumnRenamed(key, "concept_id").join(concepts, "concept_id")
 
 
-def count_tokens(facts: DataFrame, key: str, concepts: DataFrame, stream: str, persons: DataFrame | None) -> DataFrame:
+def coded_records(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """Union of coded tables, given as (stream, records, concept column): (person_id, stream, concept_id)."""
+    return reduce(
+        DataFrame.unionByName,
+        [df.select("person_id", F.lit(stream).alias("stream"), F.col(key).alias("concept_id")) for stream, df, key in sources],
+    )
+
+
+def streams_of(concepts: dict[str, DataFrame]) -> DataFrame:
+    """One lookup (stream, concept_id, token) from a lookup per stream."""
+    return reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(stream).alias("stream"), "concept_id", "token") for stream, df in concepts.items()],
+    )
+
+
+def count_tokens(records: DataFrame, concepts: DataFrame) -> DataFrame:
     """(stream, token, n). Records are counted per concept before the lookup, so a concept that holds a
     third of all records is one row when it is joined."""
-    kept = facts if persons is None else restrict(facts, persons)
-    per_concept = kept.groupBy(F.col(key).alias("concept_id")).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        per_concept.join(concepts, "concept_id")
-        .groupBy(F.lit(stream).alias("stream"), "token")
-        .agg(F.sum("n").alias("n"))
-    )
+    per_concept = records.groupBy("stream", "concept_id").agg(F.count(F.lit(1)).alias("n"))
+    return per_concept.join(concepts, ["stream", "concept_id"]).groupBy("stream", "token").agg(F.sum("n").alias("n"))
 
 
 def top_tokens(counts: DataFrame, k: int) -> DataFrame:
@@ -105,4 +118,4 @@ def vocab_stats(counts: DataFrame) -> DataFrame:
 def with_ids(concepts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(concept_id, tid): the lookup a record joins once; a token outside the vocabulary is unknown."""
     ids = concepts.join(vocab.select("token", "tid"), "token", "left")
-    return ids.select("concept_id", "token", F.coalesce("tid", F.lit(UNK)).cast("int").alias("tid"))
+    return ids.select(*concepts.columns, F.coalesce("tid", F.lit(UNK)).cast("int").alias("tid"))

@@ -129,7 +129,9 @@ def day_packs(tokens: DataFrame, max_len: int) -> DataFrame:
 
     A day never needs more than its last ``max_len`` tokens, because the window keeps only its tail.
     """
-    packed = tokens.groupBy("person_id", F.to_date("ts").alias("day")).agg(
+    # collecting does not shrink anything before the shuffle, so rows are placed once and collected there
+    placed = tokens.withColumn("day", F.to_date("ts")).repartition("person_id", "day")
+    packed = placed.groupBy("person_id", "day").agg(
         F.sort_array(F.collect_list(F.struct("ts", "stream_ord", "tid", "n"))).alias("runs"),
         F.max("n").alias("most"),
     )
@@ -148,7 +150,8 @@ def window_sequences(
     calendar_positions: bool = False,
 ) -> DataFrame:
     """Token and position arrays per window: begin mark, days joined by separators, end mark, tail kept."""
-    gathered = in_windows(packs, calendar, window_days).groupBy(*KEYS, "split").agg(
+    copies = in_windows(packs, calendar, window_days).repartition(*KEYS)
+    gathered = copies.groupBy(*KEYS, "split").agg(
         F.sort_array(F.collect_list(F.struct("day", "ids"))).alias("days")
     )
     return _assemble(gathered, max_len, window_days if calendar_positions else None)

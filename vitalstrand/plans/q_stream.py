@@ -69,8 +69,8 @@ def stream_tokens(spark, sf_dir):
         parts.append(tk.wearable_tokens(jobs.current(spark, home, keys), name))
     t = b.event_tables(spark, sf_dir, events)
     coded = [
-        (t.condition_occurrence, "condition_start_date", "condition_source_concept_id", s.dx_ids),
-        (t.procedure_occurrence, "procedure_date", "procedure_concept_id", s.px_ids),
+        (t.condition_occurrence, "condition_start_date", "condition_source_concept_id", s.ids_of("DX10")),
+        (t.procedure_occurrence, "procedure_date", "procedure_concept_id", s.ids_of("PX10")),
     ]
     home = fresh_path(spark, "stream-ehr")
     streams = [
@@ -105,7 +105,7 @@ def daily_refresh(spark, sf_dir):
     s = dense(spark, sf_dir)
     p = s.params
     persons = s.splits.select("person_id")
-    cuts, dx, px, weights = s.cuts, s.dx_ids, s.px_ids, token_weights(spark)
+    cuts, dx, px, weights = s.cuts, s.ids_of("DX10"), s.ids_of("PX10"), token_weights(spark)
 
     def report_for(rows, _touched):
         t = b.event_tables(spark, sf_dir, rows.withColumnRenamed("person_id", "user_id"))

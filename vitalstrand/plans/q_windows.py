@@ -217,7 +217,7 @@ def person_window(spark, sf_dir):
 def enc_sep_sequences(spark, sf_dir):
     s = history(spark, sf_dir)
     visited = s.tables.condition_occurrence.join(s.splits.select("person_id"), "person_id", "left_semi").join(
-        s.dx_ids.withColumnRenamed("concept_id", "condition_source_concept_id"), "condition_source_concept_id"
+        s.ids_of("DX10").withColumnRenamed("concept_id", "condition_source_concept_id"), "condition_source_concept_id"
     )
     rows = visited.select(
         "person_id", F.col("condition_start_date").alias("day"), F.col("visit_occurrence_id").alias("visit_id"), "tid"

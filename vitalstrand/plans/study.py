@@ -73,18 +73,32 @@ class Study:
     def persons(self, split: str) -> DataFrame:
         return self.splits.where(F.col("split") == split).select("person_id")
 
+    @cached_property
+    def n_persons(self) -> int:
+        return self.splits.count()
+
+    def members(self, df: DataFrame) -> DataFrame:
+        """Rows of cohort persons."""
+        return co.restrict(df, self.splits, n_ids=self.n_persons)
+
+    def training(self, df: DataFrame) -> DataFrame:
+        """Rows of training persons."""
+        return co.restrict(df, self.persons("train"), n_ids=self.n_persons)
+
     # --- fitted on training persons ----------------------------------------------------------------
 
     def reference_persons(self) -> DataFrame:
-        return hash_sample(self.persons("train"), ["person_id"], self.params.reference_persons, self.params.reference_seed)
+        train, n = self.persons("train"), self.params.reference_persons
+        return train if self.n_persons <= n else stage(hash_sample(train, ["person_id"], n, self.params.reference_seed), "sample")
 
     def reference(self) -> DataFrame:
         t, p = self.tables, self.params
         sample = self.reference_persons()
-        hr = sg.hr_reference(
-            co.restrict(t.heart_rate_minute_level, sample), p.hr_bin_minutes, p.pool_hours, p.reference_rows, p.reference_seed
-        )
-        return hr.unionByName(sg.steps_reference(co.restrict(t.steps_intraday, sample)))
+        # at most ``reference_persons`` ids
+        hr = co.restrict(t.heart_rate_minute_level, sample, n_ids=p.reference_persons)
+        steps = co.restrict(t.steps_intraday, sample, n_ids=p.reference_persons)
+        values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, p.reference_rows, p.reference_seed)
+        return values.unionByName(sg.steps_reference(steps))
 
     @cached_property
     def cuts(self) -> DataFrame:
@@ -92,57 +106,68 @@ class Study:
 
     def token_counts(self) -> DataFrame:
         """(stream, token, n) over the coded records of training persons."""
-        t, train = self.tables, self.persons("train")
-        counts = vo.count_tokens(
-            t.condition_occurrence, "condition_source_concept_id", vo.dx_concepts(t.concept), "DX10", train
-        ).unionByName(
-            vo.count_tokens(t.procedure_occurrence, "procedure_concept_id", vo.px_concepts(t.concept), "PX10", train)
-        )
+        t = self.tables
+        sources = [
+            ("DX10", t.condition_occurrence, "condition_source_concept_id"),
+            ("PX10", t.procedure_occurrence, "procedure_concept_id"),
+        ]
+        concepts = {"DX10": vo.dx_concepts(t.concept), "PX10": vo.px_concepts(t.concept)}
         if t.drug_exposure is not None and t.concept_ancestor is not None:
-            meds = vo.med_concepts(t.concept, t.concept_ancestor)
-            counts = counts.unionByName(vo.count_tokens(t.drug_exposure, "drug_concept_id", meds, "MED", train))
+            sources.append(("MED", t.drug_exposure, "drug_concept_id"))
+            concepts["MED"] = vo.med_concepts(t.concept, t.concept_ancestor)
         if t.measurement is not None:
-            labs = vo.lab_concepts(t.concept, self.lab_prefixes)
-            counts = counts.unionByName(vo.count_tokens(t.measurement, "measurement_concept_id", labs, "LAB", train))
-        return counts
+            sources.append(("LAB", t.measurement, "measurement_concept_id"))
+            concepts["LAB"] = vo.lab_concepts(t.concept, self.lab_prefixes)
+        return vo.count_tokens(self.training(vo.coded_records(sources)), vo.streams_of(concepts))
 
     @cached_property
     def vocab(self) -> DataFrame:
         return stage(vo.build_vocab(self.token_counts()), "vocab")
 
     @cached_property
-    def dx_ids(self) -> DataFrame:
-        return stage(vo.with_ids(vo.dx_concepts(self.tables.concept), self.vocab), "dx-ids")
+    def code_ids(self) -> DataFrame:
+        """(stream, concept_id, token, tid) for the streams the windows read."""
+        concepts = {"DX10": vo.dx_concepts(self.tables.concept), "PX10": vo.px_concepts(self.tables.concept)}
+        return stage(vo.with_ids(vo.streams_of(concepts), self.vocab), "code-ids")
 
-    @cached_property
-    def px_ids(self) -> DataFrame:
-        return stage(vo.with_ids(vo.px_concepts(self.tables.concept), self.vocab), "px-ids")
+    def ids_of(self, stream: str) -> DataFrame:
+        return self.code_ids.where(F.col("stream") == stream).drop("stream")
 
     # --- tokens ------------------------------------------------------------------------------------
 
     def hr_deciles(self) -> DataFrame:
-        hr = co.restrict(self.tables.heart_rate_minute_level, self.splits)
+        hr = self.members(self.tables.heart_rate_minute_level)
         return sg.encode_deciles(sg.hr_bins(hr, self.params.hr_bin_minutes), self.cuts, "HR")
 
     def steps_deciles(self) -> DataFrame:
-        steps = co.restrict(self.tables.steps_intraday, self.splits)
+        steps = self.members(self.tables.steps_intraday)
         return sg.encode_deciles(sg.steps_daily(steps), self.cuts, "STEPS")
 
     def condition_tokens(self) -> DataFrame:
-        mine = co.restrict(self.tables.condition_occurrence, self.splits)
-        return tk.coded_events(mine, "condition_start_date", "condition_source_concept_id", self.dx_ids)
+        mine = self.members(self.tables.condition_occurrence)
+        return tk.coded_events(mine, "condition_start_date", "condition_source_concept_id", self.ids_of("DX10"))
 
     def procedure_tokens(self) -> DataFrame:
-        mine = co.restrict(self.tables.procedure_occurrence, self.splits)
-        return tk.coded_events(mine, "procedure_date", "procedure_concept_id", self.px_ids)
+        mine = self.members(self.tables.procedure_occurrence)
+        return tk.coded_events(mine, "procedure_date", "procedure_concept_id", self.ids_of("PX10"))
 
     def medication_tokens(self) -> DataFrame:
         t = self.tables
-        lookup = vo.with_ids(vo.med_concepts(t.concept, t.concept_ancestor), self.vocab)
-        return tk.coded_events(co.restrict(t.drug_exposure, self.splits), "drug_exposure_start_date", "drug_concept_id", lookup)
+        lookup = vo.with_ids(vo.med_concepts(t.concept, t.concept_ancestor).select("concept_id", "token"), self.vocab)
+        return tk.coded_events(self.members(t.drug_exposure), "drug_exposure_start_date", "drug_concept_id", lookup)
 
     def ehr_tokens(self) -> DataFrame:
-        return tk.ehr_tokens(self.condition_tokens(), self.procedure_tokens())
+        t = self.tables
+        sources = [
+            ("DX10", t.condition_occurrence, "condition_start_date", "condition_source_concept_id"),
+            ("PX10", t.procedure_occurrence, "procedure_date", "procedure_concept_id"),
+        ]
+        dated = [
+            df.select("person_id", F.col(day).alias("day"), F.lit(stream).alias("stream"), F.col(key).alias("concept_id"))
+            for stream, df, day, key in sources
+        ]
+        records = self.members(dated[0].unionByName(dated[1])).join(self.code_ids, ["stream", "concept_id"])
+        return tk.ehr_tokens(records.select("person_id", F.col("day").cast("timestamp").alias("ts"), "token", "tid"))
 
     def tokens(self) -> DataFrame:
         return tk.all_tokens(
@@ -161,7 +186,7 @@ class Study:
         return wi.window_anchors(self.calendar())
 
     def event_days(self) -> DataFrame:
-        days = co.restrict(self.endpoint_conditions(), self.splits).select(
+        days = self.members(self.endpoint_conditions()).select(
             "person_id", F.col("condition_start_date").alias("event_day")
         )
         if self.params.incident_only:
