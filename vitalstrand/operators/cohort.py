@@ -91,11 +91,10 @@ def build_cohort(
 # --- endpoint events -------------------------------------------------------------------------------
 
 
-def endpoint_conditions(conditions: DataFrame, ids: DataFrame) -> DataFrame:
+def endpoint_conditions(conditions: DataFrame, ids: DataFrame, n_ids: int | None = None) -> DataFrame:
     """Condition records whose source concept is an endpoint."""
-    return conditions.join(
-        ids.select(F.col("concept_id").alias("condition_source_concept_id")), "condition_source_concept_id", "left_semi"
-    )
+    keys = ids.withColumnRenamed("concept_id", "condition_source_concept_id")
+    return restrict(conditions, keys, "condition_source_concept_id", n_ids)
 
 
 def events_with_visit(events: DataFrame, visits: DataFrame | None) -> DataFrame:

@@ -23,25 +23,26 @@ def total_value(col: str) -> Column:
     return F.round(F.sum(col), VALUE_SCALE)
 
 
-def hr_bins(hr: DataFrame, minutes: int = 5) -> DataFrame:
-    """Mean heart rate per person and bin; ``ts`` is the bin start."""
+def hr_bin_sums(hr: DataFrame, minutes: int = 5) -> DataFrame:
+    """Readings and their sum per person and bin; ``ts`` is the bin start."""
+    v = F.col("heart_rate_value")
     return (
-        hr.where(F.col("heart_rate_value").isNotNull())
+        hr.where(v.isNotNull())
         .groupBy("person_id", bin_start("datetime", minutes).alias("ts"))
-        .agg(mean_value("heart_rate_value").alias("v"))
+        .agg(F.count(v).alias("n"), F.sum(v).alias("s"))
     )
 
 
-def hr_pooled(hr: DataFrame, minutes: int = 5) -> DataFrame:
-    """Mean per (person, day, minute slot) pooling all hours of the day."""
-    return (
-        hr.where(F.col("heart_rate_value").isNotNull())
-        .groupBy(
-            "person_id",
-            F.to_date("datetime").alias("day"),
-            F.floor(F.minute("datetime") / F.lit(minutes)).cast("int").alias("slot"),
-        )
-        .agg(mean_value("heart_rate_value").alias("v"))
+def hr_bins(sums: DataFrame) -> DataFrame:
+    """Mean heart rate per person and bin."""
+    return sums.select("person_id", "ts", F.round(F.col("s") / F.col("n"), VALUE_SCALE).alias("v"))
+
+
+def hr_pooled(sums: DataFrame, minutes: int = 5) -> DataFrame:
+    """Mean per (person, day, minute slot) pooling all hours of the day, from the bin sums."""
+    slot = F.floor(F.minute("ts") / F.lit(minutes)).cast("int")
+    return sums.groupBy("person_id", F.to_date("ts").alias("day"), slot.alias("slot")).agg(
+        F.round(F.sum("s") / F.sum("n"), VALUE_SCALE).alias("v")
     )
 
 
@@ -75,19 +76,15 @@ def bounded_reference(values: DataFrame, key: list[str], limit: int | None, seed
     return values if values.count() <= limit else hash_sample(values, key, limit, seed)
 
 
-def hr_reference(hr: DataFrame, minutes: int, pool_hours: bool, limit: int | None, seed: int) -> DataFrame:
+def hr_reference(sums: DataFrame, minutes: int, pool_hours: bool, limit: int | None, seed: int) -> DataFrame:
     """Heart-rate values the decile cuts are taken from: (stream, v)."""
     if pool_hours:
-        values, key = hr_pooled(hr, minutes), ["person_id", "day", "slot"]
+        values, key = hr_pooled(sums, minutes), ["person_id", "day", "slot"]
     else:
-        values, key = hr_bins(hr, minutes), ["person_id", "ts"]
+        values, key = hr_bins(sums), ["person_id", "ts"]
     return bounded_reference(values, key, limit, seed).select(F.lit("HR").alias("stream"), "v")
 
 
-def steps_reference(steps: DataFrame) -> DataFrame:
-    return steps_daily(steps).select(F.lit("STEPS").alias("stream"), "v")
-
-
 def decile_cuts(reference: DataFrame, by: str = "stream", value: str = "v") -> DataFrame:
     """Nine exact cut points per stream: cut ``d`` is the value at rank ceil(d*n/10).
 
@@ -106,15 +103,10 @@ def decile_of(value: str | Column, cuts: str | Column) -> Column:
     return reduce(add, [(v >= c[i]).cast("int") for i in range(9)])
 
 
-def encode_deciles(binned: DataFrame, cuts: DataFrame, stream: str) -> DataFrame:
-    """Add ``dec``; the cuts hold one row per stream, which is the bound on what is broadcast."""
-    mine = cuts.where(F.col("stream") == stream).select("stream", "cuts")
-    return (
-        binned.withColumn("stream", F.lit(stream))
-        .join(F.broadcast(mine), "stream")
-        .withColumn("dec", decile_of("v", "cuts"))
-        .drop("stream", "cuts")
-    )
+def encode_deciles(binned: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Add ``dec`` to rows of (stream, v, ...); the cuts hold one row per stream, which bounds the broadcast."""
+    joined = binned.join(F.broadcast(cuts.select("stream", "cuts")), "stream")
+    return joined.withColumn("dec", decile_of("v", "cuts")).drop("cuts")
 
 
 def reference_summary(reference: DataFrame, by: str = "stream", value: str = "v") -> DataFrame:

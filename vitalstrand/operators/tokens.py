@@ -16,14 +16,18 @@ from vitalstrand.operators.signals import decile_of
 COLUMNS = ("person_id", "ts", "stream_ord", "tid", "n")
 
 
-def wearable_tokens(encoded: DataFrame, stream: str) -> DataFrame:
-    """Decile tokens; the binned stream already has one row per person and instant."""
-    base = ID_RANGES[stream][0]
+def wearable_tokens(encoded: DataFrame) -> DataFrame:
+    """Decile tokens; a binned stream already has one row per person and instant."""
+    order = base = None
+    for stream in ("HR", "STEPS", "HRV"):
+        hit = F.col("stream") == stream
+        order = (F if order is None else order).when(hit, STREAM_ORDER[stream])
+        base = (F if base is None else base).when(hit, ID_RANGES[stream][0])
     return encoded.select(
         "person_id",
         "ts",
-        F.lit(STREAM_ORDER[stream]).alias("stream_ord"),
-        (F.lit(base) + F.col("dec")).cast("int").alias("tid"),
+        order.alias("stream_ord"),
+        (base + F.col("dec")).cast("int").alias("tid"),
         F.lit(1).cast("long").alias("n"),
     )
 

@@ -139,7 +139,8 @@ def day_packs(tokens: DataFrame, max_len: int) -> DataFrame:
         F.transform("runs", lambda r: F.array_repeat(r["tid"], F.least(r["n"], F.lit(max_len)).cast("int")))
     )
     ids = F.when(F.col("most") == 1, F.col("runs.tid")).otherwise(repeated)
-    return packed.select("person_id", "day", tail(ids, max_len).alias("ids"))
+    # built in one projection and cut in the next, so the array is assembled once
+    return packed.select("person_id", "day", ids.alias("ids")).withColumn("ids", tail(F.col("ids"), max_len))
 
 
 def window_sequences(
@@ -171,15 +172,14 @@ def _assemble(gathered: DataFrame, max_len: int, window_days: int | None) -> Dat
         width = F.size(d["ids"]) + F.when(i > 0, 1).otherwise(0)
         return F.array_repeat(place(d, i), width)
 
-    last = F.element_at(F.transform("days", place), -1)
+    if window_days is None:
+        last = F.size("days") - 1
+    else:
+        last = F.datediff(F.element_at("days", -1)["day"], F.date_sub("end_date", window_days))
     ids = F.concat(F.array(F.lit(BOS)), F.flatten(F.transform("days", cut)), F.array(F.lit(EOS)))
     positions = F.concat(F.array(F.lit(0)), F.flatten(F.transform("days", spread)), F.array(last))
-    return gathered.select(
-        *KEYS,
-        "split",
-        tail(ids, max_len).alias("input_ids"),
-        tail(positions, max_len).alias("positions"),
-    ).withColumn("n_tokens", F.size("input_ids"))
+    whole = gathered.select(*KEYS, "split", ids.alias("input_ids"), positions.alias("positions"))
+    return truncate(whole, max_len)
 
 
 def truncate(sequences: DataFrame, max_len: int) -> DataFrame:

@@ -29,7 +29,7 @@ COHORT = "person_id:i fitbit_start:t fitbit_end:t year_of_birth:i age_at_fitbit_
 )
 def restrict_ids(spark, sf_dir):
     s = history(spark, sf_dir)
-    kept = co.restrict(s.tables.heart_rate_minute_level, s.persons("train"))
+    kept = s.training(s.tables.heart_rate_minute_level)
     return kept.select("person_id", F.col("datetime").alias("dt"), F.col("heart_rate_value").alias("val"))
 
 
@@ -68,7 +68,7 @@ def sample_ids(spark, sf_dir):
 )
 def bounded_reference(spark, sf_dir):
     s = dense(spark, sf_dir)
-    pooled = sg.hr_pooled(co.restrict(s.tables.heart_rate_minute_level, s.persons("train")))
+    pooled = sg.hr_pooled(s.training(s.hr_sums))
     return sg.bounded_reference(pooled, ["person_id", "day", "slot"], 1000, 42)
 
 
@@ -95,17 +95,17 @@ def kind_filter(spark, sf_dir):
 
 @query("expand_codeset", compose(H, "SELECT name, CAST(concept_id AS BIGINT) AS concept_id FROM endpoint"))
 def expand_codeset(spark, sf_dir):
-    return history(spark, sf_dir).endpoint_concepts
+    return history(spark, sf_dir).endpoint_plan()
 
 
 @query("codeset_sizes", compose(H, "SELECT name, COUNT(*) AS n_concepts FROM endpoint GROUP BY name"))
 def codeset_sizes(spark, sf_dir):
-    return co.codeset_sizes(history(spark, sf_dir).endpoint_concepts)
+    return co.codeset_sizes(history(spark, sf_dir).endpoint_plan())
 
 
 @query("endpoint_ids", compose(H, "SELECT CAST(concept_id AS BIGINT) AS concept_id FROM endpoint_ids"))
 def endpoint_ids(spark, sf_dir):
-    return history(spark, sf_dir).endpoint_ids
+    return co.endpoint_ids(history(spark, sf_dir).endpoint_plan())
 
 
 @query("lab_prefix_filter", compose(H, "SELECT CAST(concept_id AS BIGINT) AS concept_id, concept_code, token FROM labc"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitalstrand.operators import cohort as co
 from vitalstrand.operators import signals as sg
 from vitalstrand.operators import tokens as tk
 from vitalstrand.operators import windows as wi
@@ -18,12 +17,12 @@ H, D = "history", "dense"
 
 @query("hr_5min", compose(D, f"SELECT {cols('person_id:i ts:t v:f')} FROM hr_bin"))
 def hr_5min(spark, sf_dir):
-    return sg.hr_bins(dense(spark, sf_dir).tables.heart_rate_minute_level)
+    return sg.hr_bins(sg.hr_bin_sums(dense(spark, sf_dir).tables.heart_rate_minute_level))
 
 
 @query("hr_ref_pooled", compose(D, f"SELECT {cols('person_id:i day:d slot:i v:f')} FROM hr_pool"))
 def hr_ref_pooled(spark, sf_dir):
-    return sg.hr_pooled(dense(spark, sf_dir).tables.heart_rate_minute_level)
+    return sg.hr_pooled(sg.hr_bin_sums(dense(spark, sf_dir).tables.heart_rate_minute_level))
 
 
 @query("steps_daily", compose(H, f"SELECT {cols('person_id:i day:d ts:t v:f')} FROM steps_day"))
@@ -107,7 +106,7 @@ def reference_summary(spark, sf_dir):
 )
 def self_deciles(spark, sf_dir):
     s = dense(spark, sf_dir)
-    binned = sg.hr_bins(s.tables.heart_rate_minute_level).withColumn("day", F.to_date("ts"))
+    binned = sg.hr_bins(s.hr_sums).withColumn("day", F.to_date("ts"))
     per_window = wi.in_windows(binned, s.calendar(), s.params.window_days)
     return sg.self_deciles(per_window, ["person_id", "end_date"])
 
@@ -132,8 +131,9 @@ HRV_MINUTES = 4320
 def hrv_proxy(spark, sf_dir):
     s = dense(spark, sf_dir)
     daily = stage(sg.hrv_daily(s.tables.heart_rate_minute_level, HRV_MINUTES), "hrv")
-    train = co.restrict(daily, s.persons("train")).select(F.lit("HRV").alias("stream"), "v")
-    return sg.encode_deciles(daily, stage(sg.decile_cuts(train), "hrv-cuts"), "HRV").select("person_id", "day", "v", "dec")
+    named = daily.withColumn("stream", F.lit("HRV"))
+    cuts = stage(sg.decile_cuts(s.training(named)), "hrv-cuts")
+    return sg.encode_deciles(named, cuts).select("person_id", "day", "v", "dec")
 
 
 # --- tokens ----------------------------------------------------------------------------------------
@@ -192,7 +192,7 @@ def lab_deciles(spark, sf_dir):
     s = history(spark, sf_dir)
     t = s.tables
     coded = vo.with_codes(
-        co.restrict(t.measurement, s.splits).where(F.col("value_as_number").isNotNull()),
+        s.members(t.measurement).where(F.col("value_as_number").isNotNull()),
         "measurement_concept_id",
         vo.lab_concepts(t.concept, s.lab_prefixes),
     )
@@ -205,7 +205,7 @@ def lab_deciles(spark, sf_dir):
         ),
         "lab-results",
     )
-    cuts = tk.lab_cuts(co.restrict(results, s.persons("train")))
+    cuts = tk.lab_cuts(s.training(results))
     return tk.lab_deciles(results, cuts).withColumnRenamed("ts", "day")
 
 

@@ -65,8 +65,8 @@ def stream_tokens(spark, sf_dir):
     }
     for name, (stream, keys) in binned.items():
         home = fresh_path(spark, f"stream-{name.lower()}")
-        jobs.land(stream, home, each=lambda batch, _, name=name: sg.encode_deciles(batch, s.cuts, name))
-        parts.append(tk.wearable_tokens(jobs.current(spark, home, keys), name))
+        jobs.land(stream.withColumn("stream", F.lit(name)), home, each=lambda batch, _: sg.encode_deciles(batch, s.cuts))
+        parts.append(tk.wearable_tokens(jobs.current(spark, home, keys)))
     t = b.event_tables(spark, sf_dir, events)
     coded = [
         (t.condition_occurrence, "condition_start_date", "condition_source_concept_id", s.ids_of("DX10")),
@@ -109,9 +109,10 @@ def daily_refresh(spark, sf_dir):
 
     def report_for(rows, _touched):
         t = b.event_tables(spark, sf_dir, rows.withColumnRenamed("person_id", "user_id"))
+        hr = sg.hr_bins(sg.hr_bin_sums(t.heart_rate_minute_level, p.hr_bin_minutes)).withColumn("stream", F.lit("HR"))
+        steps = sg.steps_daily(t.steps_intraday).select("person_id", "ts", "v", F.lit("STEPS").alias("stream"))
         tokens = tk.all_tokens(
-            tk.wearable_tokens(sg.encode_deciles(sg.hr_bins(t.heart_rate_minute_level), cuts, "HR"), "HR"),
-            tk.wearable_tokens(sg.encode_deciles(sg.steps_daily(t.steps_intraday), cuts, "STEPS"), "STEPS"),
+            tk.wearable_tokens(sg.encode_deciles(hr.unionByName(steps), cuts)),
             tk.ehr_tokens(
                 tk.coded_events(t.condition_occurrence, "condition_start_date", "condition_source_concept_id", dx),
                 tk.coded_events(t.procedure_occurrence, "procedure_date", "procedure_concept_id", px),

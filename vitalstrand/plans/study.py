@@ -22,6 +22,10 @@ from vitalstrand.session import stage
 from vitalstrand.sources.tables import ClinicalTables
 
 
+# persons whose calendar rows (some 50 bytes each) may be sent to every executor
+CALENDAR_BROADCAST = 2_000_000
+
+
 class Study:
     def __init__(self, tables: ClinicalTables, params: StudyParams = StudyParams(), lab_prefixes=CARDIAC_LOINC):
         self.tables = tables
@@ -30,14 +34,21 @@ class Study:
 
     # --- cohort ------------------------------------------------------------------------------------
 
-    @cached_property
-    def endpoint_concepts(self) -> DataFrame:
+    def endpoint_plan(self) -> DataFrame:
         return co.expand_codeset(self.tables.concept, self.tables.codeset)
 
     @cached_property
+    def endpoint_concepts(self) -> DataFrame:
+        return stage(self.endpoint_plan(), "endpoints")
+
+    @property
     def endpoint_ids(self) -> DataFrame:
         return co.endpoint_ids(self.endpoint_concepts)
 
+    @cached_property
+    def n_endpoints(self) -> int:
+        return self.endpoint_concepts.count()
+
     def cohort_plan(self) -> DataFrame:
         t, p = self.tables, self.params
         return co.build_cohort(
@@ -49,7 +60,7 @@ class Study:
         return stage(self.cohort_plan(), "cohort")
 
     def endpoint_conditions(self) -> DataFrame:
-        return co.endpoint_conditions(self.tables.condition_occurrence, self.endpoint_ids)
+        return co.endpoint_conditions(self.tables.condition_occurrence, self.endpoint_ids, self.n_endpoints)
 
     def events(self) -> DataFrame:
         """Endpoint events of cohort persons with their visit and the person's signal span."""
@@ -85,6 +96,23 @@ class Study:
         """Rows of training persons."""
         return co.restrict(df, self.persons("train"), n_ids=self.n_persons)
 
+    # --- binned signals ----------------------------------------------------------------------------
+
+    @cached_property
+    def hr_sums(self) -> DataFrame:
+        """Bin sums of cohort persons: minute data is read once for both the reference and the tokens."""
+        return stage(sg.hr_bin_sums(self.members(self.tables.heart_rate_minute_level), self.params.hr_bin_minutes), "hr-sums")
+
+    @cached_property
+    def steps_by_day(self) -> DataFrame:
+        return stage(sg.steps_daily(self.members(self.tables.steps_intraday)), "steps-by-day")
+
+    def wearables(self) -> DataFrame:
+        """(stream, person_id, ts, v) of all binned signals."""
+        hr = sg.hr_bins(self.hr_sums).withColumn("stream", F.lit("HR"))
+        steps = self.steps_by_day.select("person_id", "ts", "v", F.lit("STEPS").alias("stream"))
+        return hr.unionByName(steps)
+
     # --- fitted on training persons ----------------------------------------------------------------
 
     def reference_persons(self) -> DataFrame:
@@ -92,13 +120,13 @@ class Study:
         return train if self.n_persons <= n else stage(hash_sample(train, ["person_id"], n, self.params.reference_seed), "sample")
 
     def reference(self) -> DataFrame:
-        t, p = self.tables, self.params
+        p = self.params
         sample = self.reference_persons()
         # at most ``reference_persons`` ids
-        hr = co.restrict(t.heart_rate_minute_level, sample, n_ids=p.reference_persons)
-        steps = co.restrict(t.steps_intraday, sample, n_ids=p.reference_persons)
+        hr = co.restrict(self.hr_sums, sample, n_ids=p.reference_persons)
+        steps = co.restrict(self.steps_by_day, sample, n_ids=p.reference_persons)
         values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, p.reference_rows, p.reference_seed)
-        return values.unionByName(sg.steps_reference(steps))
+        return values.unionByName(steps.select(F.lit("STEPS").alias("stream"), "v"))
 
     @cached_property
     def cuts(self) -> DataFrame:
@@ -135,13 +163,14 @@ class Study:
 
     # --- tokens ------------------------------------------------------------------------------------
 
+    def deciles(self) -> DataFrame:
+        return sg.encode_deciles(self.wearables(), self.cuts)
+
     def hr_deciles(self) -> DataFrame:
-        hr = self.members(self.tables.heart_rate_minute_level)
-        return sg.encode_deciles(sg.hr_bins(hr, self.params.hr_bin_minutes), self.cuts, "HR")
+        return self.deciles().where(F.col("stream") == "HR").drop("stream")
 
     def steps_deciles(self) -> DataFrame:
-        steps = self.members(self.tables.steps_intraday)
-        return sg.encode_deciles(sg.steps_daily(steps), self.cuts, "STEPS")
+        return self.deciles().where(F.col("stream") == "STEPS").drop("stream")
 
     def condition_tokens(self) -> DataFrame:
         mine = self.members(self.tables.condition_occurrence)
@@ -171,16 +200,17 @@ class Study:
 
     def tokens(self) -> DataFrame:
         return tk.all_tokens(
-            tk.wearable_tokens(self.hr_deciles(), "HR"),
-            tk.wearable_tokens(self.steps_deciles(), "STEPS"),
+            tk.wearable_tokens(self.deciles()),
             self.ehr_tokens(),
         )
 
     # --- windows -----------------------------------------------------------------------------------
 
     def calendar(self) -> DataFrame:
+        """One row per person; few enough persons are broadcast, so packed days move only once."""
         p = self.params
-        return wi.person_calendar(self.splits, p.window_days, p.lookahead_days, p.stride_days)
+        rows = wi.person_calendar(self.splits, p.window_days, p.lookahead_days, p.stride_days)
+        return F.broadcast(rows) if self.n_persons <= CALENDAR_BROADCAST else rows
 
     def anchors(self) -> DataFrame:
         return wi.window_anchors(self.calendar())
