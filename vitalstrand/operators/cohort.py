@@ -107,10 +107,11 @@ def events_with_visit(events: DataFrame, visits: DataFrame | None) -> DataFrame:
             F.lit(None).cast("date").alias("visit_end_date"),
         )
     else:
-        blank = events.join(
-            visits.select("visit_occurrence_id", "visit_concept_id", "visit_start_date", "visit_end_date"),
-            "visit_occurrence_id",
-            "left",
+        # events without a visit share one null key; the salt spreads them, and they match nothing anyway
+        salt = F.when(F.col("visit_occurrence_id").isNull(), F.pmod(F.xxhash64("person_id"), F.lit(64))).otherwise(0)
+        known = visits.select("visit_occurrence_id", "visit_concept_id", "visit_start_date", "visit_end_date")
+        blank = events.withColumn("_salt", salt).join(
+            known.withColumn("_salt", F.lit(0).cast("long")), ["visit_occurrence_id", "_salt"], "left"
         )
     return blank.select(
         "person_id",
@@ -169,6 +170,12 @@ def qualified_events(events: DataFrame, expanded: DataFrame, inpatient_only=("mi
     return named.where(~F.col("name").isin(*inpatient_only) | (F.col("encounter_type") == "inpatient"))
 
 
+def device_afib_events(records: DataFrame) -> DataFrame:
+    """Days on which a device recorded atrial fibrillation, as endpoint events (person_id, event_day)."""
+    found = records.where(F.col("classification") == "atrialFibrillation")
+    return found.select("person_id", F.to_date("ts").alias("event_day")).distinct()
+
+
 def death_events(death: DataFrame, cause_ids: DataFrame) -> DataFrame:
     """Deaths whose cause is in a code set, as endpoint events (person_id, event_day)."""
     return death.join(

@@ -50,13 +50,14 @@ def contributions(sequences: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def pooled_vectors(sequences: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Masked mean of token vectors per window. ``vectors`` is (tid, vec array<double>).
+    """Masked mean of token vectors per window. ``vectors`` is (tid, vec array<double>), bounded by the id space.
 
-    One average per dimension keeps the shuffle at one row per window and task instead of one per
+    Marks such as the day separator occur in every window, so the vectors go to the tokens and not the
+    tokens to the vectors. One average per dimension keeps the shuffle at one row per window and task instead of one per
     dimension and token.
     """
     bags = token_bags(sequences)
-    joined = bags.join(vectors, "tid")
+    joined = bags.join(F.broadcast(vectors.where(F.col("tid").between(0, ID_SPACE - 1))), "tid")
     total = F.greatest(F.sum("n"), F.lit(1))
     means = F.array(*[F.sum(F.col("vec")[i] * F.col("n")) / total for i in range(dim)])
     return joined.groupBy(*KEYS).agg(means.alias("pooled"))

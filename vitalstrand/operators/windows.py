@@ -219,7 +219,12 @@ def trailing_window(
 
 
 def person_window(readings: DataFrame, requests: DataFrame, window_days: int = 30) -> DataFrame:
-    """Readings with datetime between end - window_days and end (both midnights) of each requested window."""
-    end = F.col("end_date").cast("timestamp")
-    start = F.date_sub("end_date", window_days).cast("timestamp")
-    return readings.join(requests.select(*KEYS), "person_id").where(F.col("datetime").between(start, end))
+    """Readings with datetime between end - window_days and end (both midnights) of each requested window.
+
+    A request is spread over its days and met by day, so a person's readings are never paired with windows
+    they lie outside of.
+    """
+    first = F.date_sub("end_date", window_days)
+    asked = requests.select(*KEYS, F.explode(F.sequence(first, F.col("end_date"))).alias("day"))
+    met = readings.withColumn("day", F.to_date("datetime")).join(asked, ["person_id", "day"])
+    return met.where(F.col("datetime") <= F.col("end_date").cast("timestamp")).drop("day")

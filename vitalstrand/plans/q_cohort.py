@@ -309,6 +309,22 @@ def death_endpoint(spark, sf_dir):
     return conditions.withColumn("kind", F.lit("condition")).unionByName(deaths.withColumn("kind", F.lit("death")))
 
 
+@query(
+    "device_afib",
+    compose(
+        D,
+        "SELECT CAST(person_id AS BIGINT) AS person_id, strftime(day, '%Y-%m-%d') AS event_day, source FROM "
+        "(SELECT DISTINCT person_id, day, 'record' AS source FROM endcond UNION ALL "
+        "SELECT DISTINCT user_id, CAST(ts AS DATE), 'device' FROM ev_k WHERE event_type = 'error' AND k < 10)",
+    ),
+)
+def device_afib(spark, sf_dir):
+    """Endpoint days from records and from device-detected atrial fibrillation."""
+    recorded = dense(spark, sf_dir).endpoint_conditions().select("person_id", F.col("condition_start_date").alias("event_day"))
+    detected = co.device_afib_events(b.ecg_records(spark, sf_dir))
+    return recorded.distinct().withColumn("source", F.lit("record")).unionByName(detected.withColumn("source", F.lit("device")))
+
+
 # --- splits ----------------------------------------------------------------------------------------
 
 
