@@ -6,6 +6,7 @@ more than once are written to the shared folder the first time they are asked fo
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -32,6 +33,11 @@ class Study:
         self.params = params
         self.lab_prefixes = lab_prefixes
 
+    def _together(self, *artefacts: str) -> None:
+        """Submit the jobs of independent artefacts side by side, so small ones do not idle the cluster."""
+        with ThreadPoolExecutor(len(artefacts)) as pool:
+            list(pool.map(lambda name: getattr(self, name), artefacts))
+
     # --- cohort ------------------------------------------------------------------------------------
 
     def endpoint_plan(self) -> DataFrame:
@@ -73,6 +79,7 @@ class Study:
     @cached_property
     def flagged(self) -> DataFrame:
         """Cohort with ``has_event``; only the event's day is needed, so visits are not joined."""
+        self._together("cohort", "n_endpoints")
         mine = co.cohort_events(co.restrict(self.endpoint_conditions(), self.cohort), self.cohort)
         return stage(co.flag_events(self.cohort, co.after_start(mine)), "flagged")
 
@@ -121,11 +128,14 @@ class Study:
 
     def reference(self) -> DataFrame:
         p = self.params
+        self._together("hr_sums", "steps_by_day")
         sample = self.reference_persons()
         # at most ``reference_persons`` ids
         hr = co.restrict(self.hr_sums, sample, n_ids=p.reference_persons)
         steps = co.restrict(self.steps_by_day, sample, n_ids=p.reference_persons)
-        values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, p.reference_rows, p.reference_seed)
+        # pooling never adds rows, so the limit can only bind when the bins exceed it
+        limit = None if p.reference_rows is None or self.hr_sums.count() <= p.reference_rows else p.reference_rows
+        values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, limit, p.reference_seed)
         return values.unionByName(steps.select(F.lit("STEPS").alias("stream"), "v"))
 
     @cached_property
@@ -199,6 +209,8 @@ class Study:
         return tk.ehr_tokens(records.select("person_id", F.col("day").cast("timestamp").alias("ts"), "token", "tid"))
 
     def tokens(self) -> DataFrame:
+        _ = self.n_persons  # both artefacts below read the splits
+        self._together("cuts", "code_ids")
         return tk.all_tokens(
             tk.wearable_tokens(self.deciles()),
             self.ehr_tokens(),

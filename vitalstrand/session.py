@@ -28,14 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder stands in only for a local master, where driver and executors are one process.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="vitalstrand-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="vitalstrand-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
