@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,13 +44,8 @@ SHORT = 64
 SHORT_REACH = -(-SHORT * DENOMINATOR // NUMERATOR)
 
 
-@lru_cache
-def _borrow() -> np.ndarray:
-    """For each register the order in which it asks others when it is empty; the last entry is a full tour."""
-    rng = np.random.Generator(np.random.PCG64(97))
-    return rng.integers(0, REGISTERS, size=(REGISTERS, 64))
-
-
+#: For each register the order in which it asks others when it is empty.
+_BORROW = np.random.Generator(np.random.PCG64(97)).integers(0, REGISTERS, size=(REGISTERS, 64))
 _EDGES = np.array([(i << 64) // REGISTERS for i in range(REGISTERS)], dtype=np.uint64)
 
 
@@ -73,7 +67,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     registers = (zeros.astype(np.int64) << MANTISSA | bits).astype(np.uint16)
     empty = np.flatnonzero(~filled)
     if len(empty):
-        asks = _borrow()[empty]
+        asks = _BORROW[empty]
         answered = filled[asks]
         first = answered.argmax(axis=1)
         source = asks[np.arange(len(empty)), first]

@@ -19,7 +19,7 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Production mix: every document at least once, no source more than this often.
 MAX_REPEATS = 1.5
 #: Rows at least this likely to be toxic are rejected.
-TOXIC = 0.5
+TOXIC = 0.7
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
