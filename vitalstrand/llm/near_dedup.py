@@ -12,9 +12,11 @@ Sketches of short sets are coarse, so sets below ``SHORT`` shingles are found ex
 similarity t share one of the first n - ceil(t n) + 1 shingles in a common order (prefix filter).
 
 Only links decide a group, so candidates are taken in two passes. First every member of a band meets the band's
-smallest class: a row per member, however large the band. Components of those links follow, and only members of one
-band that are still in different components meet each other, so a group of copies never becomes all its pairs
-and no pair that could join two components is left out.
+smallest class: a row per member, however large the band. Components of those links follow. Members of one band that are
+still in different components are then judged one by one: shingles that no other of them has bound the
+similarity a member can reach with any, and those that can't reach the threshold drop out. Only the others meet each
+other, so neither a group of copies nor one of texts around a common passage becomes all its pairs, and no pair
+that could join two components is left out.
 
 Defined cases: null, empty and white texts have no shingles, are linked with nothing and are kept; fewer than
 five words are one run; a repeated ``doc_id`` is taken once, with its smallest text; null ids are left
@@ -200,6 +202,35 @@ def _links(pairs: DataFrame, classes: DataFrame, texts: DataFrame, label: str) -
     return stage(held.mapInArrow(_verified, "a long, b long"), f"{label}_links")
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows of keys whose members are in more than one component."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return placed.join(keys, "key")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            part = batch.slice(lo, 128)
+            sets = [shingle_set(hashes.of(lower_words(t)), WORDS).view(np.int64) for t in part.column(1).to_pylist()]
+            node = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(sets))], names=["node", "shingle"])
+
+
+def _shareable(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n, shared) of ``nodes``: the size of a set and how many of its shingles another of them has.
+
+    Two sets can only share shingles that both share with somebody, so ``shared`` bounds every similarity exactly: members
+    that have a passage in common and little else drop out alone, before pairs are formed.
+    """
+    held = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text")
+    single = held.mapInArrow(_shingles, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("rows"))
+    single = single.filter("rows = 1").groupBy("node").agg(F.count("*").alias("single"))
+    sized = nodes.join(classes.select("node", F.col("n_shingles").alias("n")), "node").join(single, "node", "left")
+    return sized.select("node", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -221,13 +252,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Members of one band in different components, other than the pairs that were just decided.
     placed = bands.join(found, "node", "left").select("key", "node", "a", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = stage(placed.join(open_keys, "key"), "dedup_open")
-    sizes = classes.select("node", F.col("n_shingles").alias("n"))
-    placed = placed.filter("node <> a").join(sizes, "node")
-    x, y = (placed.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n")]) for s in "xy")
+    placed = stage(_open(placed).filter("node <> a"), "dedup_open")
+    sizes = _shareable(placed.select("node").distinct(), classes, texts)
+    placed = placed.join(sizes, "node")
+    least = placed.groupBy("key").agg(F.min("n").alias("n_least"))
+    both = NUMERATOR + DENOMINATOR
+    able = placed.join(least, "key").filter(F.col("shared") * both >= (F.col("n") + F.col("n_least")) * NUMERATOR).drop("n_least", "a")
+    able = stage(_open(able), "dedup_able")
+    x, y = (able.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "shared")]) for s in "xy")
     near = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-    near = near & (F.greatest("n_x", "n_y") * NUMERATOR <= F.least("n_x", "n_y") * DENOMINATOR)
+    near = near & (F.least("shared_x", "shared_y") * both >= (F.col("n_x") + F.col("n_y")) * NUMERATOR)
     rest = x.join(y, "key").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     rest = stage(rest.join(first, ["a", "b"], "left_anti"), "dedup_rest")
     more = _links(rest, classes, texts, "dedup_rest")
