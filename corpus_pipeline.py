@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vitalstrand.llm import decontaminate, mixing, near_dedup, token_orc, toxicity
 from vitalstrand.llm.common import table
-from vitalstrand.llm.queries import MAX_REPEATS, TOXIC, tokenizer_path
+from vitalstrand.llm.queries import MAX_REPEATS, TOXIC, tokenizer
 from vitalstrand.session import fresh_path, stage
 
 
@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ORC shards; returns doc_id, start, n_tokens, ids_crc32 read back from them."""
     path = fresh_path(spark, "pipeline_tokens")
-    token_orc.write_tokens(docs, path, tokenizer_path())
+    token_orc.write_tokens(docs, path, *tokenizer())
     return token_orc.checksums(token_orc.read_tokens(spark, path))
 
 

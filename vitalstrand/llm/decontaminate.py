@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalstrand.llm.common import WordHashes, mix
+from vitalstrand.llm.common import WordHashes
 from vitalstrand.session import stage
 
 STEPS, SAMPLES, TABLES, STRIDE = 20, 7, 3, 4
@@ -49,7 +49,8 @@ OUT = "doc_id long, item_id long, start long, end long, distance long, similarit
 
 def token(piece: str) -> str:
     """Letters and digits of a piece between white space, in lower case; may be empty."""
-    return BARE.sub("", piece.lower())
+    bare = piece.strip(".,")
+    return bare.lower() if bare.isalnum() else BARE.sub("", piece.lower())
 
 
 def tokens(text: str | None) -> list[str]:
@@ -85,9 +86,8 @@ def walk(hashes: np.ndarray, starts: np.ndarray, table: int) -> tuple[np.ndarray
     """
     at = starts.copy()
     key = np.full(len(starts), SEEDS[table])
-    bits = mix(hashes ^ SEEDS[table])
-    # Of a token's bits only those of the steps matter; small integers keep the gathers in cache.
-    bits = (bits & np.uint64((1 << STEPS) - 1)).astype(np.int32)
+    # Each table has its own bits of the hash; small integers keep the gathers in cache.
+    bits = (hashes >> np.uint64(STEPS * table)).astype(np.uint32)
     wanted = set(SAMPLED[table].tolist())
     last = int(SAMPLED[table][-1])
     with np.errstate(over="ignore"):
@@ -95,8 +95,8 @@ def walk(hashes: np.ndarray, starts: np.ndarray, table: int) -> tuple[np.ndarray
             if step in wanted:
                 key = (key + hashes[at]) * np.uint64(0x9E3779B97F4A7C15)
             if step < last:
-                at += (bits[at] >> step) & 1
-        return mix(key), at
+                at += (bits[at] >> np.uint32(step)) & np.uint32(1)
+        return key, at
 
 
 def recall(changed: float, n_tokens: int) -> float:
@@ -170,7 +170,7 @@ class Items:
             key = key.astype(np.uint64)
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << FILTER_BITS, dtype=bool)
-            seen[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+            seen[(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             out.keys.append(key[order])
             out.item.append(item[order])
             out.offset.append(offset[order])
@@ -192,7 +192,7 @@ def candidates(hashes: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
     out = []
     for t in range(TABLES):
         key, _ = walk(hashes, starts, t)
-        hit = np.flatnonzero(items.seen[t][(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)])
+        hit = np.flatnonzero(items.seen[t][(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         low = np.searchsorted(items.keys[t], key[hit], side="left")
         high = np.searchsorted(items.keys[t], key[hit], side="right")
         for s, a, b in zip(hit[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):

@@ -102,13 +102,6 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return np.clip((agree - p) / (1 - p), 0, 1)
 
 
-def prefix(shingles: np.ndarray) -> np.ndarray:
-    """First shingles, in hash order, of which two sets of the required similarity share one."""
-    n = len(shingles)
-    need = -(-NUMERATOR * n // DENOMINATOR)
-    return shingles[: n - need + 1]
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     if NUMERATOR * max(len(a), len(b)) > DENOMINATOR * min(len(a), len(b)):
         return False
@@ -129,7 +122,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sizes.append(n)
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if n else None)
                 sketches.append(sketch(s).astype("<u2").tobytes() if n >= SHORT else None)
-                keys.append(prefix(s).view(np.int64) if 0 < n < SHORT_REACH else None)
+                keys.append(s.view(np.int64) if 0 < n < SHORT_REACH else None)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 schema=schema,
@@ -137,7 +130,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, sketch (long sets), keys (short sets) of each row."""
+    """doc_id, n_shingles, digest of the set, sketch (long sets), keys (all shingles of short sets) of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.filter("doc_id is not null").mapInArrow(_sets, "doc_id long, n_shingles long, digest binary, sketch binary, keys array<long>")
 
@@ -146,13 +139,26 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            node, key = [], []
-            for i, sk, ks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                own = [] if sk is None else [int.from_bytes(k, "little", signed=True) for k in band_keys(np.frombuffer(sk, "<u2"))]
-                own += ks or []
-                node += [i] * len(own)
-                key += own
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.int64())], names=["key", "node"])
+            keys = [int.from_bytes(k, "little", signed=True) for sk in part.column(1).to_pylist() for k in band_keys(np.frombuffer(sk, "<u2"))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.repeat(part.column(0).to_numpy(), BANDS))], names=["key", "node"])
+
+
+def _alone(shingles: DataFrame) -> DataFrame:
+    """(node, single): how many shingles of ``shingles`` (node, shingle) only one node has."""
+    rows = shingles.groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("rows")).filter("rows = 1")
+    return rows.groupBy("node").agg(F.count("*").alias("single"))
+
+
+def _short_keys(classes: DataFrame) -> DataFrame:
+    """(key, node) of short sets: the shingles of their prefixes, in hash order.
+
+    A set of which less than the threshold is shared with any other short set can't be linked and has no keys.
+    """
+    short = classes.filter("keys is not null").select("node", F.col("n_shingles").alias("n"), "keys")
+    single = _alone(short.select("node", F.explode("keys").alias("shingle")))
+    able = short.join(single, "node", "left").filter((F.col("n") - F.coalesce("single", F.lit(0))) * DENOMINATOR >= F.col("n") * NUMERATOR)
+    need = F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int")
+    return able.select(F.explode(F.slice("keys", 1, F.col("n").cast("int") - need + 1)).alias("key"), "node")
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +231,7 @@ def _shareable(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     that have a passage in common and little else drop out alone, before pairs are formed.
     """
     held = nodes.join(texts.withColumnRenamed("doc_id", "node"), "node").select("node", "text")
-    single = held.mapInArrow(_shingles, "node long, shingle long").groupBy("shingle").agg(F.min("node").alias("node"), F.count("*").alias("rows"))
-    single = single.filter("rows = 1").groupBy("node").agg(F.count("*").alias("single"))
+    single = _alone(held.mapInArrow(_shingles, "node long, shingle long"))
     sized = nodes.join(classes.select("node", F.col("n_shingles").alias("n")), "node").join(single, "node", "left")
     return sized.select("node", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared"))
 
@@ -243,7 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = sets.join(heads.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node").drop("digest")
     classes = stage(classes, "dedup_heads")
 
-    keyed = classes.select("node", "sketch", "keys").mapInArrow(_bands, "key long, node long")
+    keyed = classes.filter("sketch is not null").select("node", "sketch").mapInArrow(_bands, "key long, node long")
+    keyed = keyed.unionByName(stage(_short_keys(classes), "dedup_short"))
     least = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("other")).filter("a <> other").select("key", "a")
     bands = stage(keyed.join(least, "key"), "dedup_bands")
     first = stage(bands.filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "dedup_stars")

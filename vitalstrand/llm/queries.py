@@ -32,10 +32,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def tokenizer_path() -> str:
+def tokenizer() -> tuple[str, str]:
+    """File of the vocabulary and pattern of its splitter."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
 
 
 @query("op1_decontamination")
@@ -69,7 +70,7 @@ def op2(spark, sf_dir):
 @query("op3_token_orc")
 def op3(spark, sf_dir):
     path = fresh_path(spark, "tokens")
-    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, *tokenizer())
     return token_orc.checksums(token_orc.read_tokens(spark, path))
 
 

@@ -85,11 +85,13 @@ def in_order(docs: DataFrame, parts: int) -> DataFrame:
     the range before, where they follow its last row as ghosts (``ghost`` > 0). One shuffle of the texts.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shares = [i / parts for i in range(1, parts)] or [0.5]
+    # Several ranges to a partition even out how they are dealt.
+    ranges = 8 * parts
+    shares = [i / ranges for i in range(1, ranges)]
     found = rows.agg(
         F.percentile_approx("doc_id", shares, 10_000).alias("cuts"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")
     ).head()
-    cuts = sorted(set((found["cuts"] or []) if parts > 1 else []))
+    cuts = sorted(set(found["cuts"] or []))
     low = None if found["nulls"] else found["low"]
     # Range of an id: how many cuts do not exceed it. Null ids are in the first.
     at = F.coalesce(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda c: c <= F.col("doc_id"))), F.lit(0))

@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 END_ID = 0
-#: Characters of remembered pieces after which a worker's memo starts over; bounds memory, not the result.
-MEMO_CHARS = 6_000_000
+#: Characters of one generation of a worker's memo of pieces; bounds memory, not the result.
+MEMO_CHARS = 5_000_000
+#: Units whose ids a worker remembers before it starts over.
+MEMO_UNITS = 1_200_000
 #: A longer piece is encoded but not remembered.
 PIECE_CHARS = 64
 #: Texts encoded together.
@@ -53,71 +55,76 @@ ORC_OPTIONS = {
 
 
 class Encoder:
-    """Ids of whole texts, equal to the library's, with the pieces between single spaces remembered.
+    """Ids of whole texts, equal to the library's, with what lies between single spaces remembered.
 
     The vocabulary's splitter starts a new unit at a space that is followed by a word, so a text is the
-    concatenation of its first piece and of the others with their leading space. That fails where a space has
-    white space on both sides, and special tokens may hold any character; such texts go to the library whole.
+    concatenation of its first piece and of the others with their leading space; and a piece is that of the units
+    which the splitter's pattern finds in it. Units are what the library encodes. Splitting at spaces fails where a space
+    has white space on both sides, and special tokens may hold any character; such texts go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s \s", *map(re.escape, special)])).search
-        self.memo: dict[str, bytes] = {}
+        self.units = regex.compile(pattern).findall
+        self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
 
+    def split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts by their units; every unit that isn't known is encoded once."""
+        parts = [self.units(t) for t in texts]
+        if len(self.known) > MEMO_UNITS:
+            self.known.clear()
+        new = list(set(chain.from_iterable(parts)) - self.known.keys())
+        self.known.update(zip(new, self.encode(new), strict=True))
+        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
+
     def of(self, texts: list[str]) -> list[bytes]:
         pieces, odd = [], []
         for i, text in enumerate(texts):
             if self.whole(text):
                 odd.append(i)
-                pieces.append(())
+                pieces.append([""])
             else:
-                first, *rest = text.split(" ")
-                pieces.append((first, *(rest)))
+                pieces.append(text.split(" "))
         if self.held > MEMO_CHARS:
-            self.memo.clear()
-            self.held = 0
-        known = self.memo
-        heads = [p[0] if p else "" for p in pieces]
-        new = list(set(chain.from_iterable(p[1:] for p in pieces)) - known.keys())
-        found = dict(zip(new, self.encode([" " + x for x in new]), strict=True))
-        short = {k: v for k, v in found.items() if len(k) <= PIECE_CHARS}
-        known.update(short)
-        self.held += sum(map(len, short))
-        look = known if len(short) == len(found) else _Two(known, found)
-        starts = self.encode(heads)
+            self.before, self.pieces, self.held = self.pieces, {}, 0
+        heads = [p[0] for p in pieces]
+        new = list(set(chain.from_iterable(p[1:] for p in pieces)) - self.pieces.keys())
+        unseen = [x for x in new if x not in self.before]
+        found = {x: self.before[x] for x in new if x in self.before}
+        found.update(zip(unseen, self.split([" " + x for x in unseen]), strict=True))
+        look = self.pieces
+        look.update(found)
+        self.held += sum(map(len, found))
+        starts = self.split(heads)
         out = [h + b"".join(map(look.__getitem__, p[1:])) for h, p in zip(starts, pieces, strict=True)]
-        if odd:
-            for i, ids in zip(odd, self.encode([texts[i] for i in odd]), strict=True):
-                out[i] = ids
+        for x in [x for x in found if len(x) > PIECE_CHARS]:
+            del look[x]
+        for i, ids in zip(odd, self.encode([texts[i] for i in odd]) if odd else [], strict=True):
+            out[i] = ids
         return out
 
 
-class _Two:
-    def __init__(self, known: dict, found: dict):
-        self.known, self.found = known, found
-
-    def __getitem__(self, key: str) -> bytes:
-        return self.known[key] if key in self.known else self.found[key]
-
-
-def tokenise(path: str, end_id: int = END_ID):
+def tokenise(path: str, pattern: str, end_id: int = END_ID):
     """Batches of (doc_id, text) to the file's rows, in the order they come."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, shard = Encoder(path), 0, TaskContext.get().partitionId()
+        encoder, at, shard = Encoder(path, pattern), 0, TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, GROUP):
@@ -139,14 +146,14 @@ def tokenise(path: str, end_id: int = END_ID):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = END_ID) -> None:
     """Write the ids of ``docs`` (doc_id, text) below ``path`` in ascending ``doc_id`` order.
 
-    One shuffle, by range of ``doc_id``; a task keeps a group of texts and the piece memo.
+    ``tokenizer`` is the vocabulary file and ``pattern`` the splitter's pattern. One shuffle, by range of ``doc_id``; a task keeps a group of texts and the piece memo.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(tokenise(tokenizer, end_id), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    ranged.mapInArrow(tokenise(tokenizer, pattern, end_id), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
