@@ -2,8 +2,8 @@
 
 Structure decides what it can: markup, scripts, styles, forms and elements that name a page part (menu, header,
 footer, sidebar, notice, advert, comments) are never main text, and where a page marks its article that is the main
-text. What lies outside is the page's loose text. Loose blocks of a host's pages are concatenated into one token
-stream, and long token runs that occur on distinct pages are boilerplate; where a page has no marked
+text. What lies outside is the page's loose text. Loose blocks and the furniture's text of a host's pages are concatenated
+into one token stream, and long token runs that occur on distinct pages are boilerplate; where a page has no marked
 article its main text is the loose blocks, less the tokens that such runs cover.
 
 A host's stream is dealt to shards of bounded size. A suffix array of each shard (prefix doubling, so suffixes that
@@ -79,14 +79,15 @@ def furniture(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str | None) -> tuple[list[str], list[str], bool]:
-    """Blocks inside the article, loose blocks outside of it and of page furniture, and whether there is an article.
+def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
+    """Blocks of the article, loose blocks, blocks of page furniture, and whether there is an article.
 
     ``header`` inside an article holds its headline and is kept; other furniture is dropped there too.
     """
     page = page or ""
     inside: list[str] = []
     loose: list[str] = []
+    around: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # name, in furniture, in article
     parts: list[str] = []
     bad = article = marked = False
@@ -96,18 +97,18 @@ def blocks(page: str | None) -> tuple[list[str], list[str], bool]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
-                (inside if article else loose).append(text)
+                (around if bad else inside if article else loose).append(text)
 
     at = 0
     while True:
         m = TAG.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not bad:
+        if text:
             parts.append(text)
         if not m:
             break
         at = m.end()
-        if m["cdata"] is not None and not bad:
+        if m["cdata"] is not None:
             parts.append(m["cdata"].replace("&", "&amp;"))
         if not m["name"]:
             continue
@@ -142,7 +143,7 @@ def blocks(page: str | None) -> tuple[list[str], list[str], bool]:
                 bad, article = now_bad, article or starts
                 marked = marked or starts
     flush()
-    return inside, loose, marked
+    return inside, loose, around, marked
 
 
 def host_of(url: str | None) -> str:
@@ -161,14 +162,15 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column(0),
                     part.column(1),
                     pa.array([host_of(u) for u in urls], pa.string()),
-                    pa.array([" ".join(b) if marked else None for b, _, marked in found], pa.string()),
-                    pa.array([b for _, b, _ in found], pa.list_(pa.string())),
+                    pa.array([" ".join(b) if marked else None for b, _, _, marked in found], pa.string()),
+                    pa.array([b for _, b, _, _ in found], pa.list_(pa.string())),
+                    pa.array([b for _, _, b, _ in found], pa.list_(pa.string())),
                 ],
-                names=["page_id", "url", "host", "article", "loose"],
+                names=["page_id", "url", "host", "article", "loose", "around"],
             )
 
 
-PARSED = "page_id long, url string, host string, article string, loose array<string>"
+PARSED = "page_id long, url string, host string, article string, loose array<string>, around array<string>"
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -195,7 +197,7 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _shard(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """Runs of a shard as (host, run, page, at, spread): spread where the shard has the run on several pages."""
     streams = [np.array(t, dtype=np.int64) for t in rows["tokens"]]
     columns = ["host", "run", "page", "at", "spread"]
@@ -240,7 +242,7 @@ def repeated_runs(streams: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataF
 
 
 def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (loose tokens covered by repeated runs) of every row of ``pages``."""
+    """page_id, url, text, n_chars, n_repeated (tokens outside the article that repeated runs cover) of every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = stage(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "pages_parsed")
 
@@ -249,22 +251,24 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
         return loose.map(lambda b: [xxhash.xxh64_intdigest(w) >> 2 for x in b for w in x.split()])
 
     page = F.xxhash64("page_id", "url")
-    streams = parsed.filter(F.size("loose") > 0).select("row", "host", page.alias("page"), hashes("loose").alias("tokens"))
+    outside = F.concat("loose", "around")
+    streams = parsed.select("row", "host", page.alias("page"), hashes(outside).alias("tokens")).filter(F.size("tokens") >= RUN)
     starts = repeated_runs(streams, shard_tokens)
 
     @F.pandas_udf("struct<text string, n_repeated long>")
-    def finish(article: pd.Series, loose: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def finish(article: pd.Series, loose: pd.Series, around: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
-        for whole, parts, at in zip(article, loose, starts, strict=True):
+        for whole, parts, rest, at in zip(article, loose, around, starts, strict=True):
             words = [w for x in parts for w in x.split()]
-            covered = np.zeros(len(words) + 1, dtype=np.int64)
+            total = len(words) + sum(len(x.split()) for x in rest)
+            covered = np.zeros(total + 1, dtype=np.int64)
             if at is not None and len(at):
                 np.add.at(covered, np.asarray(at), 1)
                 np.add.at(covered, np.asarray(at) + RUN, -1)
-            covered = covered.cumsum()[: len(words)] > 0
-            text = whole if whole is not None else " ".join(w for w, c in zip(words, covered, strict=True) if not c)
+            covered = covered.cumsum()[:total] > 0
+            text = whole if whole is not None else " ".join(w for w, c in zip(words, covered, strict=False) if not c)
             out.append((text, int(covered.sum())))
         return pd.DataFrame(out, columns=["text", "n_repeated"])
 
-    done = parsed.join(starts, "row", "left").select("page_id", "url", finish("article", "loose", "starts").alias("x"))
+    done = parsed.join(starts, "row", "left").select("page_id", "url", finish("article", "loose", "around", "starts").alias("x"))
     return done.select("page_id", "url", "x.text", F.length("x.text").cast("long").alias("n_chars"), "x.n_repeated")

@@ -14,8 +14,8 @@ similarity t share one of the first n - ceil(t n) + 1 shingles in a common order
 Only links decide a group, so candidates are taken in two passes. First every member of a band meets the band's
 smallest class: a row per member, however large the band. Components of those links follow. Members of one band that are
 still in different components are then judged one by one: shingles that no other of them has bound the
-similarity a member can reach with any, and those that can't reach the threshold drop out. Only the others meet each
-other, so neither a group of copies nor one of texts around a common passage becomes all its pairs, and no pair
+similarity a member can reach with any, and those that can't reach the threshold drop out. The others meet the member
+that shares most of its set, and only those of them that are apart even then meet each other, so neither a group of copies nor one of texts around a common passage becomes all its pairs, and no pair
 that could join two components is left out.
 
 Defined cases: null, empty and white texts have no shingles, are linked with nothing and are kept; fewer than
@@ -265,15 +265,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     both = NUMERATOR + DENOMINATOR
     able = placed.join(least, "key").filter(F.col("shared") * both >= (F.col("n") + F.col("n_least")) * NUMERATOR).drop("n_least", "a")
     able = stage(_open(able), "dedup_able")
+
+    # Members first meet the one of their band that shares most of its set: the likely original of a group of copies.
+    hubs = able.groupBy("key").agg((-F.max(F.struct(F.col("shared") / F.col("n"), -F.col("node")))["col2"]).alias("hub"))
+    near_hub = able.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    near_hub = stage(near_hub.join(first, ["a", "b"], "left_anti"), "dedup_hubs")
+    more = _links(near_hub, classes, texts, "dedup_hub")
+    if more.limit(1).count():
+        links = stage(links.unionByName(more), "dedup_links")
+        found = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), "dedup_edges")
+        able = able.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        able = stage(_open(able), "dedup_able")
+
+    # Whoever still can, meets every member of another component.
     x, y = (able.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "shared")]) for s in "xy")
     near = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
     near = near & (F.least("shared_x", "shared_y") * both >= (F.col("n_x") + F.col("n_y")) * NUMERATOR)
     rest = x.join(y, "key").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    rest = stage(rest.join(first, ["a", "b"], "left_anti"), "dedup_rest")
+    rest = stage(rest.join(first, ["a", "b"], "left_anti").join(near_hub, ["a", "b"], "left_anti"), "dedup_rest")
     more = _links(rest, classes, texts, "dedup_rest")
     if more.limit(1).count():
-        both = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        found = components(both, "dedup_edges")
+        both_links = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        found = components(both_links, "dedup_edges")
 
     member = sets.select("doc_id", "n_shingles", "digest").join(heads, "digest", "left")
     member = member.join(found, "node", "left").select(

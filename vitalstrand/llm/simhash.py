@@ -38,7 +38,7 @@ def pair_terms(words: str) -> Column:
 
 def votes(term: Column) -> list[Column]:
     """Sums over rows of the bits of a term's two hashes, two bits to a column."""
-    first, second = term, F.xxhash64(term)
+    first, second = term, F.when(term.isNotNull(), F.xxhash64(term))
     return [F.sum(F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES))).alias(f"v{k}_{j}") for k, h in enumerate((first, second)) for j in range(32)]
 
 

@@ -1,8 +1,8 @@
 """URL verdicts: host word segmentation by unigram Viterbi, then multinomial naive Bayes.
 
 Hosts are concatenated names, so each distinct host label is split into the words that make it most likely under a
-unigram model: counts of the letter runs that stand alone in hosts and paths of the table, plus the
-seed words. The tokens of host and path then vote by naive Bayes. Labels for the fit are weak: a url is a bad example if
+unigram model: counts of the letter runs of paths, of hyphenated host labels and of labels that several hosts share, plus
+the seed words. The tokens of host and path then vote by naive Bayes. Labels for the fit are weak: a url is a bad example if
 a piece that stands alone in its host or path is a seed word, a good one otherwise; every url counts. Rules
 go before the model's verdict.
 
@@ -27,8 +27,10 @@ from vitalstrand.session import stage
 
 #: Most words of the unigram model and of the weight table.
 MODEL_WORDS = 50_000
-#: Longest word of the unigram model, and the price of an unknown character.
+#: Longest word of the unigram model.
 LONGEST = 24
+#: Hosts that share a label which then counts as a word.
+SHARED_LABEL = 3
 
 # Words that mark a url as unwanted, the seeds of the weak labels.
 SEEDS = (
@@ -97,7 +99,7 @@ def pieces(text: Column) -> Column:
 
 
 def fit_words(hosts: DataFrame, paths: DataFrame, size: int = MODEL_WORDS) -> Words:
-    """Unigram model from distinct hosts and counted path pieces (column ``piece``, ``n``); seeds count once more."""
+    """Unigram model from distinct hosts and counted path pieces (columns ``piece``, ``n``); seeds count once more."""
     counted = hosts.unionByName(paths).groupBy("piece").agg(F.sum("n").alias("n")).filter(F.length("piece") <= LONGEST)
     rows = {r["piece"]: r["n"] for r in counted.orderBy(F.desc("n"), "piece").limit(size).collect()}
     for seed in SEEDS:
@@ -124,7 +126,10 @@ def judge_urls(pages: DataFrame, rules=RULES, size: int = MODEL_WORDS, smoothing
     seeds = F.array(*[F.lit(s) for s in SEEDS])
     named = rows.select("host", pieces(F.col("path")).alias("in_path"))
     grams = named.select("host", F.explode("in_path").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    words = fit_words(hosts.select(F.explode(pieces(F.col("host"))).alias("piece"), F.lit(1).cast("long").alias("n")), grams, size)
+    # A label counts where hyphens already split it, or as a name that several hosts share; others are what is to be split.
+    labels = hosts.select(F.explode(F.split("host", "[.]")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    labels = labels.filter((F.col("n") >= SHARED_LABEL) | F.contains("label", F.lit("-")))
+    words = fit_words(labels.select(F.explode(pieces(F.col("label"))).alias("piece"), "n"), grams, size)
 
     @F.pandas_udf("array<string>")
     def segment(host: pd.Series) -> pd.Series:
