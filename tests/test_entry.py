@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 from check_oracles import compare, oracle_connection
 
 SMALL = "/root/testdata/sf0.001"
-ROWS_ONLY = {"fit_risk"}
+ROWS_ONLY: set[str] = set()
 CHECKED = (
     "cohort", "first_event", "stratified_split", "vocab", "window_labels", "window_sequences", "padded_windows",
     "weighted_resample", "eval_report", "mia_audit", "risk_report", "hrv_proxy", "stream_hr_5min", "daily_refresh",

@@ -66,8 +66,7 @@ def test_encounter_days_separate_visits_and_keep_tail(spark):
     day = dt.date(2020, 1, 1)
     rows = [(1, day, 10, 1000), (1, day, 10, 1000), (1, day, 11, 1001), (1, day, 12, 1000), (1, day, 12, 1002)]
     df = spark.createDataFrame(rows, "person_id BIGINT, day DATE, visit_id BIGINT, tid INT")
-    assert tk.encounter_days(df, 4096).first().ids == [1000, 1000, 4, 1001, 4, 1000, 1002]
-    assert tk.encounter_days(df, 2).first().ids == [1000, 1002]
+    assert tk.encounter_days(df).first().ids == [1000, 1000, 4, 1001, 4, 1000, 1002]
 
 
 def test_repeats_are_counted(spark):

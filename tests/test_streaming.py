@@ -67,8 +67,13 @@ def test_trend_state_survives_batches(spark, drop, tmp_path):
     go()
     drop([(1, day(3), 0.2)], "b", schema)
     go()
-    got = {(r.person_id, r.end_date): round(r.trend_delta, 6) for r in jobs.landed(spark, home).collect()}
-    assert got == {(1, day(1)): 0.0, (1, day(2)): 0.3, (1, day(3)): -0.2, (2, day(1)): 0.0}
+    early = dt.date(2023, 12, 31)
+    drop([(1, early, 0.9), (1, day(4), 0.3)], "c", schema)
+    go()
+    deltas = {(r.person_id, r.end_date): r.trend_delta for r in jobs.landed(spark, home).collect()}
+    assert deltas.pop((1, early)) is None
+    got = {k: round(v, 6) for k, v in deltas.items()}
+    assert got == {(1, day(1)): 0.0, (1, day(2)): 0.3, (1, day(3)): -0.2, (1, day(4)): 0.1, (2, day(1)): 0.0}
 
 
 def test_refresh_rescores_only_touched_persons(spark, drop, tmp_path):

@@ -84,7 +84,6 @@ SAMPLE_KINDS = {
 # Audit, calibration and parity gates.
 AUDIT_MAX_AUROC = 0.55
 AUDIT_MAX_P95_DIFF = 0.02
-AUDIT_PERSON_CAP = 5000
 CALIBRATION_GAP = 0.15
 PARITY_TOLERANCE = 0.05
 
@@ -112,8 +111,9 @@ class StudyParams:
     val_percent: int = 15
     split_seed: int = 20260606
     reference_seed: int = 42
-    reference_persons: int = 10_000
-    reference_rows: int | None = 5_000_000
+    #: None: every training person, every bin. A number draws a seeded sample of that size.
+    reference_persons: int | None = None
+    reference_rows: int | None = None
     pool_hours: bool = True
     calendar_positions: bool = False
     incident_only: bool = False

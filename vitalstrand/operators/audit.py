@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitalstrand.config import AUDIT_MAX_AUROC, AUDIT_MAX_P95_DIFF, AUDIT_PERSON_CAP, PARITY_TOLERANCE
+from vitalstrand.config import AUDIT_MAX_AUROC, AUDIT_MAX_P95_DIFF, PARITY_TOLERANCE
 from vitalstrand.functions.scalars import bce_with_logits
 from vitalstrand.operators.metrics import auroc
 from vitalstrand.operators.ranks import distribution, quantiles_linear
 
 
-def cap_persons(rows: DataFrame, n: int = AUDIT_PERSON_CAP) -> DataFrame:
+def cap_persons(rows: DataFrame, n: int) -> DataFrame:
     """Rows of the first ``n`` persons by id; each kept person keeps every row."""
     first = rows.select("person_id").distinct().orderBy("person_id").limit(n)
-    return rows.join(F.broadcast(first), "person_id", "left_semi")
+    return rows.join(first, "person_id", "left_semi")
 
 
 def person_loss(scored: DataFrame, logit: str = "logit", label: str = "label") -> DataFrame:
@@ -23,9 +23,10 @@ def person_loss(scored: DataFrame, logit: str = "logit", label: str = "label") -
     )
 
 
-def membership(losses: DataFrame, cap: int = AUDIT_PERSON_CAP) -> DataFrame:
-    """Per-person losses of members (train) and non-members (val), each side capped."""
-    sides = [(cap_persons(losses.where(F.col("split") == s), cap), m) for s, m in (("train", 1), ("val", 0))]
+def membership(losses: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per-person losses of members (train) and non-members (val); ``cap`` keeps that many persons of each side."""
+    sides = [(losses.where(F.col("split") == s), m) for s, m in (("train", 1), ("val", 0))]
+    sides = sides if cap is None else [(cap_persons(df, cap), m) for df, m in sides]
     parts = [df.select("person_id", F.lit(m).alias("is_member"), "loss") for df, m in sides]
     return parts[0].unionByName(parts[1])
 

@@ -9,8 +9,8 @@ from vitalstrand.functions.scalars import encounter_type
 from vitalstrand.operators.ranks import hash_ranked, uniform
 
 
-# ids up to this many (a few tens of MB) are sent to every executor instead of shuffling the signal table
-BROADCAST_IDS = 5_000_000
+# ids up to this many (a few MB) are sent to every executor instead of shuffling the signal table
+BROADCAST_IDS = 500_000
 
 
 def restrict(df: DataFrame, ids: DataFrame, on: str = "person_id", n_ids: int | None = None) -> DataFrame:

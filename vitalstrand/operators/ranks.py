@@ -24,9 +24,9 @@ def hash_text(seed, *cols) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") if isinstance(c, str) else c for c in cols]))
 
 
-def uniform(seed, *cols) -> Column:
-    """Reproducible number in [0, 1) from the first 32 bits of the hash."""
-    return F.conv(F.substring(hash_text(seed, *cols), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def uniform(seed, *cols, digits: int = 8) -> Column:
+    """Reproducible number in [0, 1) from the first ``digits`` hexadecimal digits of the hash; 13 fill a double."""
+    return F.conv(F.substring(hash_text(seed, *cols), 1, digits), 16, 10).cast("double") / F.lit(16.0**digits)
 
 
 def hash_ranked(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), digits: int = 3) -> DataFrame:

@@ -41,13 +41,13 @@ def weighted_resample(
     mass_pos = F.col("n_pos") * F.col("weight_pos")
     mass = mass_pos + (F.col("n") - F.col("n_pos")) * F.col("weight_neg")
     odds = w.select("n", "n_pos", (mass_pos / mass).alias("share_pos"))
-    drawn_label = F.when(uniform(f"{seed}:class", *key) < F.col("share_pos"), 1).otherwise(0)
+    drawn_label = F.when(uniform(f"{seed}:class", *key, digits=13) < F.col("share_pos"), 1).otherwise(0)
     draws = (
         rows.select(*key, F.lit(1).alias("_one"))
         .join(F.broadcast(odds.withColumn("_one", F.lit(1))), "_one")
         .withColumn("_label", drawn_label)
         .withColumn("_size", F.when(F.col("_label") == 1, F.col("n_pos")).otherwise(F.col("n") - F.col("n_pos")))
-        .withColumn("ordinal", F.floor(uniform(f"{seed}:row", *key) * F.col("_size")))
+        .withColumn("ordinal", F.floor(uniform(f"{seed}:row", *key, digits=13) * F.col("_size")))
         .groupBy(F.col("_label").alias(label), "ordinal")
         .agg(F.count(F.lit(1)).alias("draws"))
     )
@@ -76,9 +76,9 @@ def batch_assign(
     return batched.drop("ordinal", "group_size")
 
 
-def head_pos_rate(rows: DataFrame, order: Sequence[str], n: int = 5000, label: str = "label") -> DataFrame:
-    """Positive rate of the first ``n`` rows in key order."""
-    head = rows.select(*order, label).orderBy(*order).limit(n)
+def head_pos_rate(rows: DataFrame, order: Sequence[str] = (), n: int | None = None, label: str = "label") -> DataFrame:
+    """Positive rate of all rows, or of the first ``n`` in key order."""
+    head = rows.select(label) if n is None else rows.select(*order, label).orderBy(*order).limit(n)
     return head.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(label).cast("double")).alias("pos_rate"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalstrand.config import ID_SPACE, PAD
+from vitalstrand.session import stage
 
 KEYS = ("person_id", "end_date", "split")
 
@@ -29,12 +30,12 @@ def token_bags(sequences: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def score_windows(sequences: DataFrame, weights: DataFrame, bias: float, keep: tuple[str, ...] = ()) -> DataFrame:
-    """logit = bias + mean token weight. ``weights`` (tid, weight) is bounded by the id space."""
+    """logit = bias + mean token weight; a token without a weight counts as 0. The join follows the size of ``weights``."""
     cols = [*KEYS, *keep]
     return (
         sequences.select(*cols, F.explode("input_ids").alias("tid"))
         .where(F.col("tid") != PAD)
-        .join(F.broadcast(weights.where(F.col("tid").between(0, ID_SPACE - 1))), "tid", "left")
+        .join(weights, "tid", "left")
         .groupBy(*cols)
         .agg(F.round(F.lit(bias) + F.avg(F.coalesce("weight", F.lit(0.0))), 9).alias("logit"))
     )
@@ -44,25 +45,39 @@ def contributions(sequences: DataFrame, weights: DataFrame) -> DataFrame:
     """Share of each token in a window's logit: count * weight / length."""
     size = F.size(F.filter("input_ids", lambda t: t != PAD)).cast("long")
     bags = token_bags(sequences.withColumn("len", size), keep=("len",))
-    return bags.join(F.broadcast(weights.where(F.col("tid").between(0, ID_SPACE - 1))), "tid").select(
+    return bags.join(weights, "tid").select(
         *KEYS, "tid", "n", F.round(F.col("n") * F.col("weight") / F.col("len"), 9).alias("contribution")
     )
 
 
 def pooled_vectors(sequences: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """Masked mean of token vectors per window. ``vectors`` is (tid, vec array<double>), bounded by the id space.
+    """Masked mean of token vectors per window. ``vectors`` is (tid, vec array<double>).
 
     Marks such as the day separator occur in every window, so the vectors go to the tokens and not the
     tokens to the vectors. One average per dimension keeps the shuffle at one row per window and task instead of one per
     dimension and token.
     """
     bags = token_bags(sequences)
-    joined = bags.join(F.broadcast(vectors.where(F.col("tid").between(0, ID_SPACE - 1))), "tid")
+    joined = bags.join(vectors, "tid")
     total = F.greatest(F.sum("n"), F.lit(1))
     means = F.array(*[F.sum(F.col("vec")[i] * F.col("n")) / total for i in range(dim)])
     return joined.groupBy(*KEYS).agg(means.alias("pooled"))
 
 
+def fit_log_odds(sequences: DataFrame, label: str = "label", smoothing: float = 1.0) -> DataFrame:
+    """Class-balanced token weights (tid, weight) of all training windows, for ``score_windows`` with bias 0.
+
+    A weight is the log ratio of a token's smoothed shares of the positive and of the other windows' tokens, so
+    neither class gains by its size. One combining aggregate per token; the sums of the classes are one row.
+    """
+    bags = token_bags(sequences.where(F.col("split") == "train"), keep=(label,))
+    side = lambda y: F.sum(F.when((F.col(label) == 1) == F.lit(y), F.col("n")).otherwise(0))
+    counts = stage(bags.groupBy("tid").agg(side(True).alias("pos"), side(False).alias("neg")), "token-odds")
+    sums = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"), F.count(F.lit(1)).alias("kinds")).withColumn("_one", F.lit(1))
+    share = lambda c: (F.col(c) + smoothing) / (F.col(f"all_{c}") + smoothing * F.col("kinds"))
+    return counts.withColumn("_one", F.lit(1)).join(F.broadcast(sums), "_one").select("tid", (F.log(share("pos")) - F.log(share("neg"))).alias("weight"))
+
+
 def fit_risk(sequences: DataFrame, label: str = "label", max_iter: int = 20, reg: float = 0.01):
     """Baseline risk model on token counts of the training windows, positives weighted to balance.
 

@@ -6,7 +6,7 @@ bounds the rows of one person-day by the bins of a day plus the vocabulary, what
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalstrand.config import ENC_SEP, ID_RANGES, STREAM_ORDER
@@ -93,22 +93,14 @@ def ecg_tokens(records: DataFrame) -> DataFrame:
     )
 
 
-def encounter_days(visited: DataFrame, max_len: int) -> DataFrame:
+def encounter_days(visited: DataFrame) -> DataFrame:
     """Per person-day token arrays with ``<ENC_SEP>`` where the visit changes.
 
-    Input: (person_id, day, visit_id, tid). Only the last ``max_len`` entries of a day can survive the
-    window's own truncation, so days are cut to them, first within salts and then across them.
+    Input: (person_id, day, visit_id, tid). Repeats are counted before a day is gathered; nothing is cut here,
+    windows truncate when they are assembled.
     """
     runs = visited.groupBy("person_id", "day", "visit_id", "tid").agg(F.count(F.lit(1)).alias("n"))
-    salted = runs.withColumn("salt", F.pmod(F.xxhash64("visit_id", "tid"), F.lit(16)))
-    late = [F.desc("visit_id"), F.desc("tid")]
-    within = Window.partitionBy("person_id", "day", "salt").orderBy(*late)
-    across = Window.partitionBy("person_id", "day").orderBy(*late)
-    kept = (
-        salted.withColumn("r", F.row_number().over(within)).where(F.col("r") <= max_len)
-        .withColumn("r", F.row_number().over(across)).where(F.col("r") <= max_len)
-    )
-    days = kept.groupBy("person_id", "day").agg(
+    days = runs.groupBy("person_id", "day").agg(
         F.sort_array(F.collect_list(F.struct("visit_id", "tid", "n"))).alias("runs")
     )
     block = F.transform(
@@ -117,7 +109,7 @@ def encounter_days(visited: DataFrame, max_len: int) -> DataFrame:
             F.when((i > 0) & (F.get(F.col("runs"), i - 1)["visit_id"] != r["visit_id"]), F.array(F.lit(ENC_SEP))).otherwise(
                 F.array().cast("array<int>")
             ),
-            F.array_repeat(r["tid"], F.least(r["n"], F.lit(max_len)).cast("int")),
+            F.array_repeat(r["tid"], r["n"].cast("int")),
         ),
     )
     return days.select("person_id", "day", F.flatten(block).alias("ids"))

@@ -120,7 +120,7 @@ def subqueries(binding: str, **over) -> dict[str, str]:
         "splits": f"SELECT * EXCLUDE (ordinal, n, n_test), CASE WHEN ordinal < n_test THEN 'test' WHEN ordinal < n_test + {share_val} "
         "THEN 'val' ELSE 'train' END AS split FROM ranked_test",
         "train": "SELECT person_id FROM splits WHERE split = 'train'",
-        "ref_person": f"SELECT person_id FROM train ORDER BY md5('{p.reference_seed}:' || person_id) LIMIT {p.reference_persons}",
+        "ref_person": f"SELECT person_id FROM train",
         "hr_pool": f"SELECT person_id, CAST(dt AS DATE) AS day, minute(dt) // {p.hr_bin_minutes} AS slot, "
         "ROUND(AVG(val), 9) AS v FROM hr GROUP BY ALL",
         "hr_bin": f"SELECT person_id, date_trunc('hour', dt) + to_minutes(CAST((minute(dt) // {p.hr_bin_minutes}) * "
@@ -201,7 +201,7 @@ def subqueries(binding: str, **over) -> dict[str, str]:
         "losses": "SELECT split, person_id, AVG(GREATEST(logit, 0) - logit * label + ln(1 + exp(-ABS(logit)))) AS loss, "
         "COUNT(*) AS n_windows FROM scored GROUP BY split, person_id",
         "capped": "SELECT person_id, is_member, loss FROM (SELECT *, CASE split WHEN 'train' THEN 1 ELSE 0 END AS is_member, "
-        "row_number() OVER (PARTITION BY split ORDER BY person_id) AS r FROM losses WHERE split IN ('train', 'val')) WHERE r <= 5000",
+        "row_number() OVER (PARTITION BY split ORDER BY person_id) AS r FROM losses WHERE split IN ('train', 'val'))",
         "eval_rows": "SELECT d.doc_id, lang, d.doc_id % 6 AS epoch, quality AS y, ROUND(ln(1 + n_chars) - 5, 6) AS logit "
         "FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
         **over_extra(),

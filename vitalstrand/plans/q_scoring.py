@@ -80,19 +80,26 @@ def window_pooled(spark, sf_dir):
     return pooled.select("person_id", "end_date", F.posexplode("pooled").alias("dim", "value"))
 
 
-@query("fit_risk")
+@query(
+    "fit_risk",
+    compose(
+        D,
+        f"SELECT {cols(KEY)}, split, CAST(label AS BIGINT) AS label, ROUND(AVG(COALESCE(weight, 0)), 6) AS logit FROM "
+        "(SELECT k.*, l.label FROM kept k JOIN labels_w l ON k.person_id = l.person_id AND k.end_date = l.end_date WHERE k.split <> 'train') r "
+        "LEFT JOIN odds ON odds.tid = r.tid GROUP BY person_id, end_date, split, label",
+        {
+            "odds_n": "SELECT tid, SUM(label) AS pos, SUM(1 - label) AS neg FROM kept k JOIN labels_w l ON k.person_id = l.person_id "
+            "AND k.end_date = l.end_date WHERE k.split = 'train' GROUP BY tid",
+            "odds": "SELECT tid, ln((pos + 1) / ((SELECT SUM(pos) FROM odds_n) + (SELECT COUNT(*) FROM odds_n))) "
+            "- ln((neg + 1) / ((SELECT SUM(neg) FROM odds_n) + (SELECT COUNT(*) FROM odds_n))) AS weight FROM odds_n",
+        },
+    ),
+)
 def fit_risk(spark, sf_dir):
-    """Fit on training windows, score validation and test windows."""
+    """Fit on training windows, score validation and test windows with the scorer."""
     rows = stage(dense(spark, sf_dir).windows(), "windows")
-    model = sc.fit_risk(rows)
-    scored = model.transform(sc.as_words(rows.where(F.col("split") != "train")))
-    return scored.select("person_id", "end_date", "split", "label", F.get(_vector(scored), 1).alias("prob"))
-
-
-def _vector(df):
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(df["probability"])
+    scored = sc.score_windows(rows.where(F.col("split") != "train"), sc.fit_log_odds(rows), 0.0, ("label",))
+    return scored.select("person_id", "end_date", "split", "label", "logit")
 
 
 # --- metrics over labelled documents ---------------------------------------------------------------
@@ -325,11 +332,10 @@ def risk_sparkline(spark, sf_dir):
 
 _POINTS = "CAST(round_even(delta * 100, 0) AS BIGINT)"
 _SIGN = f"CASE WHEN {_POINTS} < 0 OR ({_POINTS} = 0 AND delta < 0) THEN '-' ELSE '+' END"
-TREND_TEXT = f"{_SIGN} || ABS({_POINTS}) || ' points vs. last week'"
+TREND_TEXT = f"{_SIGN} || ABS({_POINTS}) || ' points since the window before'"
 REPORT_TEXT = (
-    "'Your 30-day cardio risk score is in the ' || CAST(floor(prob * 100) AS BIGINT) || 'th percentile of users in your age band. "
-    "The main contributors right now are:' || chr(10) || chr(10) || bullets || chr(10) || chr(10) || 'Worth bringing up at your next visit: "
-    "ask whether the resting-HR and HRV trends warrant a clinical evaluation. This is not a diagnosis.'"
+    "'Estimated 30-day risk: ' || CAST(floor(prob * 100) AS BIGINT) || ' of 100 points.' || chr(10) || 'Strongest factors in this window:' || "
+    "chr(10) || bullets || chr(10) || 'An estimate from recorded data and no diagnosis; talk to a clinician about it.'"
 )
 REPORT = {
     "rows_r": "SELECT person_id, end_date, prob, COALESCE(prob - lag(prob) OVER (PARTITION BY person_id ORDER BY end_date), 0) AS delta FROM risks",

@@ -222,7 +222,7 @@ def enc_sep_sequences(spark, sf_dir):
     rows = visited.select(
         "person_id", F.col("condition_start_date").alias("day"), F.col("visit_occurrence_id").alias("visit_id"), "tid"
     )
-    return tk.encounter_days(rows, s.params.max_len)
+    return tk.encounter_days(rows)
 
 
 # --- shards ----------------------------------------------------------------------------------------
@@ -311,7 +311,7 @@ def class_weights(spark, sf_dir):
     return sa.class_weights(_train_windows(spark, sf_dir))
 
 
-_U = "CAST('0x' || substr(md5('{seed}:' || person_id || ':' || strftime(end_date, '%Y-%m-%d')), 1, 8) AS BIGINT) / 4294967296.0"
+_U = "CAST('0x' || substr(md5('{seed}:' || person_id || ':' || strftime(end_date, '%Y-%m-%d')), 1, 13) AS BIGINT) / 4503599627370496.0"
 
 
 @query(
@@ -352,13 +352,13 @@ def seeded_shuffle(spark, sf_dir):
     "head_pos_rate",
     compose(
         D,
-        "SELECT COUNT(*) AS n, ROUND(AVG(label), 6) AS pos_rate FROM (SELECT label FROM trainw ORDER BY person_id, end_date LIMIT 5000)",
+        "SELECT COUNT(*) AS n, ROUND(AVG(label), 6) AS pos_rate FROM trainw",
         TRAIN,
     ),
 )
 def head_pos_rate(spark, sf_dir):
     rows = dense(spark, sf_dir).window_index().where(F.col("split") == "train")
-    return sa.head_pos_rate(rows, ["person_id", "end_date"])
+    return sa.head_pos_rate(rows)
 
 
 def _hash(seed: str, extra: str, bound: int) -> str:

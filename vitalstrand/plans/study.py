@@ -24,7 +24,7 @@ from vitalstrand.sources.tables import ClinicalTables
 
 
 # persons whose calendar rows (some 50 bytes each) may be sent to every executor
-CALENDAR_BROADCAST = 2_000_000
+CALENDAR_BROADCAST = 200_000
 
 
 class Study:
@@ -80,7 +80,7 @@ class Study:
     def flagged(self) -> DataFrame:
         """Cohort with ``has_event``; only the event's day is needed, so visits are not joined."""
         self._together("cohort", "n_endpoints")
-        mine = co.cohort_events(co.restrict(self.endpoint_conditions(), self.cohort), self.cohort)
+        mine = co.cohort_events(self.endpoint_conditions(), self.cohort)
         return stage(co.flag_events(self.cohort, co.after_start(mine)), "flagged")
 
     @cached_property
@@ -124,18 +124,16 @@ class Study:
 
     def reference_persons(self) -> DataFrame:
         train, n = self.persons("train"), self.params.reference_persons
-        return train if self.n_persons <= n else stage(hash_sample(train, ["person_id"], n, self.params.reference_seed), "sample")
+        return train if n is None else stage(hash_sample(train, ["person_id"], n, self.params.reference_seed), "sample")
 
     def reference(self) -> DataFrame:
         p = self.params
+        _ = self.n_persons  # both artefacts below read the splits
         self._together("hr_sums", "steps_by_day")
         sample = self.reference_persons()
-        # at most ``reference_persons`` ids
-        hr = co.restrict(self.hr_sums, sample, n_ids=p.reference_persons)
-        steps = co.restrict(self.steps_by_day, sample, n_ids=p.reference_persons)
-        # pooling never adds rows, so the limit can only bind when the bins exceed it
-        limit = None if p.reference_rows is None or self.hr_sums.count() <= p.reference_rows else p.reference_rows
-        values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, limit, p.reference_seed)
+        hr = co.restrict(self.hr_sums, sample, n_ids=self.n_persons)
+        steps = co.restrict(self.steps_by_day, sample, n_ids=self.n_persons)
+        values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, p.reference_rows, p.reference_seed)
         return values.unionByName(steps.select(F.lit("STEPS").alias("stream"), "v"))
 
     @cached_property

@@ -121,21 +121,26 @@ TREND_SCHEMA = "person_id BIGINT, end_date DATE, prob DOUBLE, trend_delta DOUBLE
 
 
 def _trend_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    prior = state.get[0] if state.exists else None
+    last, prior = state.get if state.exists else (None, None)
     rows = pd.concat(list(frames)).sort_values("end_date")
-    before = rows["prob"].shift(1)
-    if prior is not None:
-        before.iloc[0] = prior
-    rows["trend_delta"] = (rows["prob"] - before).fillna(0.0)
-    state.update((float(rows["prob"].iloc[-1]),))
+    # A window behind the last one has no known predecessor here: null, for the batch path to fill.
+    late = rows["end_date"] <= last if last is not None else pd.Series(False, index=rows.index)
+    fresh = rows[~late]
+    before = fresh["prob"].shift(1)
+    if len(fresh):
+        before.iloc[0] = fresh["prob"].iloc[0] if prior is None else prior
+        state.update((fresh["end_date"].iloc[-1], float(fresh["prob"].iloc[-1])))
+    rows["trend_delta"] = (fresh["prob"] - before).reindex(rows.index)
     yield rows[["person_id", "end_date", "prob", "trend_delta"]]
 
 
 def risk_trend_stream(risks: DataFrame) -> DataFrame:
-    """Change against the person's previous risk, carried across micro-batches as keyed state.
+    """Change against the person's previous risk, carried across micro-batches as keyed state (last window, its risk).
+
+    A window that arrives after a later one leaves the state alone and has a null ``trend_delta``.
 
     A person adds at most one row per calendar day, which bounds what one group holds.
     """
     return risks.groupBy("person_id").applyInPandasWithState(
-        _trend_step, TREND_SCHEMA, "prob DOUBLE", "append", GroupStateTimeout.NoTimeout
+        _trend_step, TREND_SCHEMA, "end_date DATE, prob DOUBLE", "append", GroupStateTimeout.NoTimeout
     )
