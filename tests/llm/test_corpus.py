@@ -217,6 +217,7 @@ def test_url_rules_and_words(spark):
         "http://a.example.org/es/1", "http://example.org/en/12", "https://EXAMPLE.com/fr/x?q", "http://x.com/de/1#t", None, "no scheme",
         "http://notexample.org/zz", "http://cheappills.example.net/buy", "http://cheap-pills.example.net/x", "http://quiet.example.net/x",
     ]
+    urls += [f"http://{h}.example.net/{i}" for i in range(12) for h in ("cheap-pills", "free-pills", f"calm{i}")]
     got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()
     assert [r["rule"] for r in got][:7] == ["example.org/es/", "example.org/en/1", "com/fr/", "com/de/", None, None, "org/"]
     assert [r["verdict"] for r in got][:4] == ["block", "block", "allow", "block"]
