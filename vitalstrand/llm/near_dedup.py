@@ -162,23 +162,25 @@ def _short_keys(classes: DataFrame) -> DataFrame:
 
 
 def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose corrected estimate may still reach the threshold; short sets always do."""
+    """Pairs whose corrected estimate may still reach the threshold; short sets always do.
+
+    The margin is six deviations. Borrowed registers repeat others, so a set counts for half as many independent
+    registers as it has shingles, at most all of them.
+    """
     least = NUMERATOR / DENOMINATOR
-    least -= 6 * (least * (1 - least) / REGISTERS) ** 0.5
     for batch in batches:
         for lo in range(0, batch.num_rows, 4096):
             part = batch.slice(lo, 4096)
             a, b, n_a, n_b, s_a, s_b = (c for c in part.columns)
             both = np.array([x and y for x, y in zip(s_a.is_valid().to_pylist(), s_b.is_valid().to_pylist(), strict=True)], dtype=bool)
             n_a, n_b = n_a.to_numpy(), n_b.to_numpy()
-            # Borrowed registers repeat others: sets below four times the registers are left to the full check.
-            both &= np.minimum(n_a, n_b) >= 4 * REGISTERS
+            margin = 6 * np.sqrt(least * (1 - least) / np.minimum(REGISTERS, np.minimum(n_a, n_b) / 2))
             keep = NUMERATOR * np.maximum(n_a, n_b) <= DENOMINATOR * np.minimum(n_a, n_b)
             at = np.flatnonzero(both & keep)
             if len(at):
                 x = np.frombuffer(b"".join(s_a.take(pa.array(at)).to_pylist()), "<u2").reshape(len(at), REGISTERS)
                 y = np.frombuffer(b"".join(s_b.take(pa.array(at)).to_pylist()), "<u2").reshape(len(at), REGISTERS)
-                keep[at] = estimate(x, y, n_a[at], n_b[at]) >= least
+                keep[at] = estimate(x, y, n_a[at], n_b[at]) >= least - margin[at]
             yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
 
 
