@@ -15,7 +15,10 @@ Only links decide a group, so candidates are taken in two passes. First every me
 smallest class: a row per member, however large the band. Components of those links follow. Members of one band that are
 still in different components are then judged one by one: shingles that no other of them has bound the
 similarity a member can reach with any, and those that can't reach the threshold drop out. The others meet the member
-that shares most of its set, and only those of them that are apart even then meet each other, so neither a group of copies nor one of texts around a common passage becomes all its pairs, and no pair
+that shares most of its set. Those of them that are apart even then are seen from a common centre: two sets differ by
+the sizes of their differences from the centre less twice what the differences share, and shingles that only one of the
+differences has are not shared. Edits of one text, each made in its own way, drop out by that, and only the others meet
+each other. So neither a group of copies nor one of texts around a common passage becomes all its pairs, and no pair
 that could join two components is left out.
 
 Defined cases: null, empty and white texts have no shingles, are linked with nothing and are kept; fewer than
@@ -238,6 +241,57 @@ def _shareable(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
     return sized.select("node", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("shared"))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(centre, node, shingle): shingles that only one of a node's text and its centre's has."""
+    hashes = WordHashes()
+    last_text, last_set = None, None
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 128):
+            part = batch.slice(lo, 128)
+            found = []
+            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                if x != last_text:
+                    last_text, last_set = x, shingle_set(hashes.of(lower_words(x)), WORDS)
+                found.append(np.setxor1d(last_set, shingle_set(hashes.of(lower_words(y)), WORDS), assume_unique=True).view(np.int64))
+            size = [len(f) for f in found]
+            ends = [np.repeat(c.to_numpy(), size) for c in part.columns[:2]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(np.concatenate(found))], names=["centre", "node", "shingle"])
+
+
+def _reachable(able: DataFrame, hubs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows of ``able`` that may have a link to another component of their key, with ``far`` and ``gain``.
+
+    Keys whose hubs are in one component share the hub that most of them have as their centre c. With d = x ^ c, two sets differ in
+    |d_x| + |d_y| - 2 |d_x & d_y| shingles, and d_x & d_y holds only shingles that two differences from c have.
+    So a pair can be a link only if far_x + far_y <= min(gain_x, gain_y); rows that fail against the smallest ``far`` of
+    the other components of their key drop out.
+    """
+    hub = hubs.join(found.withColumnRenamed("node", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("of"))
+    votes = hub.groupBy("of", "hub").agg(F.count("*").alias("keys"))
+    centres = votes.groupBy("of").agg((-F.max(F.struct("keys", -F.col("hub")))["col2"]).alias("centre"))
+    seen = stage(able.join(hub.join(centres, "of").select("key", "centre"), "key"), "dedup_seen")
+
+    full = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
+    held = seen.select("centre", "node").distinct().join(full("node"), "node").join(full("centre"), "centre")
+    differ = held.select("centre", "node", "t_centre", "t_node").mapInArrow(_differences, "centre long, node long, shingle long")
+    differ = stage(differ, "dedup_differ")
+    size = differ.groupBy("centre", "node").agg(F.count("*").alias("d"))
+    single = differ.groupBy("centre", "shingle").agg(F.min("node").alias("node"), F.count("*").alias("rows")).filter("rows = 1")
+    single = single.groupBy("centre", "node").agg(F.count("*").alias("single"))
+    d = F.coalesce("d", F.lit(0))
+    both, gap = NUMERATOR + DENOMINATOR, DENOMINATOR - NUMERATOR
+    rows = seen.join(size, ["centre", "node"], "left").join(single, ["centre", "node"], "left").select(
+        "key", "node", "component", (d * both - F.col("n") * gap).alias("far"), ((d - F.coalesce("single", F.lit(0))) * 2 * both).alias("gain")
+    )
+    rows = stage(rows, "dedup_far")
+    near = rows.groupBy("key", "component").agg(F.min("far").alias("far"))
+    first = near.groupBy("key").agg(F.min(F.struct("far", "component")).alias("first"))
+    others = near.join(first, "key").filter(F.col("component") != F.col("first.component"))
+    nearest = others.groupBy("key").agg(F.min("first").alias("first"), F.min("far").alias("second"))
+    other = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.far"))
+    return rows.join(nearest, "key").filter(F.col("far") + other <= F.col("gain")).select("key", "node", "component", "far", "gain")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -270,6 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Members first meet the one of their band that shares most of its set: the likely original of a group of copies.
     hubs = able.groupBy("key").agg((-F.max(F.struct(F.col("shared") / F.col("n"), -F.col("node")))["col2"]).alias("hub"))
+    hubs = stage(hubs, "dedup_hub_keys")
     near_hub = able.join(hubs, "key").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     near_hub = stage(near_hub.join(first, ["a", "b"], "left_anti"), "dedup_hubs")
     more = _links(near_hub, classes, texts, "dedup_hub")
@@ -280,9 +335,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         able = stage(_open(able), "dedup_able")
 
     # Whoever still can, meets every member of another component.
-    x, y = (able.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "shared")]) for s in "xy")
+    able = stage(_open(_reachable(able, hubs, found, texts)), "dedup_reach")
+    x, y = (able.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "far", "gain")]) for s in "xy")
     near = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-    near = near & (F.least("shared_x", "shared_y") * both >= (F.col("n_x") + F.col("n_y")) * NUMERATOR)
+    near = near & (F.col("far_x") + F.col("far_y") <= F.least("gain_x", "gain_y"))
     rest = x.join(y, "key").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     rest = stage(rest.join(first, ["a", "b"], "left_anti").join(near_hub, ["a", "b"], "left_anti"), "dedup_rest")
     more = _links(rest, classes, texts, "dedup_rest")
