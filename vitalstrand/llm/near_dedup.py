@@ -242,7 +242,7 @@ def _shareable(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFr
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(centre, node, shingle): shingles that only one of a node's text and its centre's has."""
+    """(centre, node, added, shingle): shingles that only one of a node's text and its centre's has; ``added`` if the node has it."""
     hashes = WordHashes()
     last_text, last_set = None, None
     for batch in batches:
@@ -252,19 +252,22 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
                 if x != last_text:
                     last_text, last_set = x, shingle_set(hashes.of(lower_words(x)), WORDS)
-                found.append(np.setxor1d(last_set, shingle_set(hashes.of(lower_words(y)), WORDS), assume_unique=True).view(np.int64))
+                one = shingle_set(hashes.of(lower_words(y)), WORDS)
+                found += [np.setdiff1d(last_set, one, assume_unique=True), np.setdiff1d(one, last_set, assume_unique=True)]
             size = [len(f) for f in found]
-            ends = [np.repeat(c.to_numpy(), size) for c in part.columns[:2]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(np.concatenate(found))], names=["centre", "node", "shingle"])
+            ends = [np.repeat(c.to_numpy().repeat(2), size) for c in part.columns[:2]]
+            added = np.tile([False, True], part.num_rows).repeat(size)
+            columns = [*map(pa.array, ends), pa.array(added), pa.array(np.concatenate(found).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["centre", "node", "added", "shingle"])
 
 
 def _reachable(able: DataFrame, hubs: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of ``able`` that may have a link to another component of their key, with ``far`` and ``gain``.
+    """Rows of ``able`` that may have a link to another component of their key, with ``far``, ``less`` and ``more``.
 
     Keys whose hubs are in one component share the hub that most of them have as their centre c. With d = x ^ c, two sets differ in
-    |d_x| + |d_y| - 2 |d_x & d_y| shingles, and d_x & d_y holds only shingles that two differences from c have.
-    So a pair can be a link only if far_x + far_y <= min(gain_x, gain_y); rows that fail against the smallest ``far`` of
-    the other components of their key drop out.
+    |d_x| + |d_y| - 2 |d_x & d_y| shingles, and d_x & d_y holds only shingles that two differences from c have: ``less`` counts
+    those of them that c has, ``more`` the others. So a pair can be a link only if far_x + far_y <= min(less_x, less_y) +
+    min(more_x, more_y); rows that fail with all of theirs against the smallest ``far`` of the other components of their key drop out.
     """
     hub = hubs.join(found.withColumnRenamed("node", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("of"))
     votes = hub.groupBy("of", "hub").agg(F.count("*").alias("keys"))
@@ -273,15 +276,16 @@ def _reachable(able: DataFrame, hubs: DataFrame, found: DataFrame, texts: DataFr
 
     full = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
     held = seen.select("centre", "node").distinct().join(full("node"), "node").join(full("centre"), "centre")
-    differ = held.select("centre", "node", "t_centre", "t_node").mapInArrow(_differences, "centre long, node long, shingle long")
+    differ = held.select("centre", "node", "t_centre", "t_node").mapInArrow(_differences, "centre long, node long, added boolean, shingle long")
     differ = stage(differ, "dedup_differ")
-    size = differ.groupBy("centre", "node").agg(F.count("*").alias("d"))
-    single = differ.groupBy("centre", "shingle").agg(F.min("node").alias("node"), F.count("*").alias("rows")).filter("rows = 1")
-    single = single.groupBy("centre", "node").agg(F.count("*").alias("single"))
-    d = F.coalesce("d", F.lit(0))
+    size = differ.groupBy("centre", "node").agg(F.count_if("added").alias("more"), F.count_if(~F.col("added")).alias("less"))
+    single = differ.groupBy("centre", "shingle", "added").agg(F.min("node").alias("node"), F.count("*").alias("rows")).filter("rows = 1")
+    single = single.groupBy("centre", "node").agg(F.count_if("added").alias("one_more"), F.count_if(~F.col("added")).alias("one_less"))
     both, gap = NUMERATOR + DENOMINATOR, DENOMINATOR - NUMERATOR
-    rows = seen.join(size, ["centre", "node"], "left").join(single, ["centre", "node"], "left").select(
-        "key", "node", "component", (d * both - F.col("n") * gap).alias("far"), ((d - F.coalesce("single", F.lit(0))) * 2 * both).alias("gain")
+    rows = seen.join(size, ["centre", "node"], "left").join(single, ["centre", "node"], "left").na.fill(0, ["more", "less", "one_more", "one_less"])
+    rows = rows.select(
+        "key", "node", "component", ((F.col("more") + F.col("less")) * both - F.col("n") * gap).alias("far"),
+        *[((F.col(c) - F.col(f"one_{c}")) * 2 * both).alias(c) for c in ("less", "more")],
     )
     rows = stage(rows, "dedup_far")
     near = rows.groupBy("key", "component").agg(F.min("far").alias("far"))
@@ -289,7 +293,7 @@ def _reachable(able: DataFrame, hubs: DataFrame, found: DataFrame, texts: DataFr
     others = near.join(first, "key").filter(F.col("component") != F.col("first.component"))
     nearest = others.groupBy("key").agg(F.min("first").alias("first"), F.min("far").alias("second"))
     other = F.when(F.col("component") == F.col("first.component"), F.col("second")).otherwise(F.col("first.far"))
-    return rows.join(nearest, "key").filter(F.col("far") + other <= F.col("gain")).select("key", "node", "component", "far", "gain")
+    return rows.join(nearest, "key").filter(F.col("far") + other <= F.col("less") + F.col("more")).drop("first", "second")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -336,9 +340,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # Whoever still can, meets every member of another component.
     able = stage(_open(_reachable(able, hubs, found, texts)), "dedup_reach")
-    x, y = (able.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "far", "gain")]) for s in "xy")
+    x, y = (able.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "far", "less", "more")]) for s in "xy")
     near = (F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y"))
-    near = near & (F.col("far_x") + F.col("far_y") <= F.least("gain_x", "gain_y"))
+    near = near & (F.col("far_x") + F.col("far_y") <= F.least("less_x", "less_y") + F.least("more_x", "more_y"))
     rest = x.join(y, "key").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     rest = stage(rest.join(first, ["a", "b"], "left_anti").join(near_hub, ["a", "b"], "left_anti"), "dedup_rest")
     more = _links(rest, classes, texts, "dedup_rest")
