@@ -34,6 +34,8 @@ MEMO_UNITS = 1_200_000
 PIECE_CHARS = 64
 #: Texts encoded together.
 GROUP = 256
+#: Units that are joined into one text for the library.
+JOINED = 128
 
 FILE_SCHEMA = T.StructType(
     [
@@ -72,6 +74,11 @@ class Encoder:
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([r"\s \s", *map(re.escape, special)])).search
         self.units = regex.compile(pattern).findall
+        # A byte-level token is spelt with one character for each byte.
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, i in vocabulary.items():
+            self.token_bytes[i] = len(token)
         self.pieces: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -81,13 +88,38 @@ class Encoder:
         batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
 
+    def joined(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are a space and letters or digits: such units stay apart in a joined text.
+
+        A text is cut where the bytes of its tokens reach the end of a unit; if they don't, its units are encoded one by one.
+        """
+        groups = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
+        out = []
+        for group, e in zip(groups, self.library.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.cumsum(self.token_bytes[ids])
+            units_end = np.cumsum([len(u.encode()) for u in group])
+            cuts = np.searchsorted(ends, units_end)
+            if ends[-1] != units_end[-1] or (ends[cuts] != units_end).any() or self.whole("".join(group)):
+                out += self.encode(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for cut in ((cuts + 1) * 4).tolist():
+                out.append(raw[at:cut])
+                at = cut
+        return out
+
     def split(self, texts: list[str]) -> list[bytes]:
         """Ids of texts by their units; every unit that isn't known is encoded once."""
         parts = [self.units(t) for t in texts]
         if len(self.known) > MEMO_UNITS:
             self.known.clear()
-        new = list(set(chain.from_iterable(parts)) - self.known.keys())
-        self.known.update(zip(new, self.encode(new), strict=True))
+        # A difference with the memo's keys would walk through the whole memo.
+        new = [u for u in set(chain.from_iterable(parts)) if u not in self.known]
+        plain = [u for u in new if u[0] == " " and u[1:].isalnum()]
+        self.known.update(zip(plain, self.joined(plain), strict=True))
+        rest = [u for u in new if u not in self.known]
+        self.known.update(zip(rest, self.encode(rest), strict=True))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
     def of(self, texts: list[str]) -> list[bytes]:
@@ -101,7 +133,7 @@ class Encoder:
         if self.held > MEMO_CHARS:
             self.before, self.pieces, self.held = self.pieces, {}, 0
         heads = [p[0] for p in pieces]
-        new = list(set(chain.from_iterable(p[1:] for p in pieces)) - self.pieces.keys())
+        new = [x for x in set(chain.from_iterable(p[1:] for p in pieces)) if x not in self.pieces]
         unseen = [x for x in new if x not in self.before]
         found = {x: self.before[x] for x in new if x in self.before}
         found.update(zip(unseen, self.split([" " + x for x in unseen]), strict=True))
