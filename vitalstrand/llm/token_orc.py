@@ -15,6 +15,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,9 +28,9 @@ from pyspark.sql.window import Window
 
 END_ID = 0
 #: Characters of one generation of a worker's memo of pieces; bounds memory, not the result.
-MEMO_CHARS = 5_000_000
+MEMO_CHARS = 2_500_000
 #: Units whose ids a worker remembers before it starts over.
-MEMO_UNITS = 1_200_000
+MEMO_UNITS = 600_000
 #: A longer piece is encoded but not remembered.
 PIECE_CHARS = 64
 #: Texts encoded together.
@@ -149,6 +150,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """The encoder of a worker process, which its tasks share one after the other; what it remembers never changes ids."""
+    return Encoder(path, pattern)
+
+
 def tokenise(path: str, pattern: str, end_id: int = END_ID):
     """Batches of (doc_id, text) to the file's rows, in the order they come."""
     schema = pa.schema(
@@ -156,7 +163,7 @@ def tokenise(path: str, pattern: str, end_id: int = END_ID):
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, shard = Encoder(path, pattern), 0, TaskContext.get().partitionId()
+        encoder, at, shard = encoder_of(path, pattern), 0, TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, GROUP):
