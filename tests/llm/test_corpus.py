@@ -125,6 +125,30 @@ def test_decontamination_finds_edited_passages_only(spark):
     assert decontaminate.recall(0.0, 20) == 1.0
 
 
+def test_decontamination_recall_by_item_length(spark):
+    rng = random.Random(7)
+    draw = lambda n: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n)]
+    items, rows, lengths = [], [], (8, 14, 20, 40)
+    for i in range(400):
+        words = draw(lengths[i % 4])
+        items.append((i, " ".join(words)))
+        changed = list(words)
+        for k in rng.sample(range(len(words)), int(0.3 * len(words))):
+            at = rng.randrange(len(words[k]))
+            changed[k] = words[k][:at] + "0" + words[k][at + 1 :]
+        if i % 3 == 0:
+            changed.insert(rng.randrange(1, len(changed)), "of")
+        rows.append((i, " ".join([*draw(30), *changed, *draw(30)]), "en", "s", 0, "x", 1))
+    within = {i for i, text in items if decontaminate.edit_distance_within(text, rows[i][1])[0] <= 0.2 * len(text)}
+    got = decontaminate.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r["distance"] == decontaminate.edit_distance_within(items[r["item_id"]][1], rows[r["doc_id"]][1])[0] for r in got)
+    for k, n in enumerate(lengths):
+        found = {r["doc_id"] for r in got if r["doc_id"] == r["item_id"] and r["doc_id"] % 4 == k}
+        want = {i for i in within if i % 4 == k}
+        assert found <= want and len(want) >= 98 and len(found) >= 0.97 * len(want), n
+        assert decontaminate.recall(0.3, n) >= 0.98
+
+
 def test_edit_distance_against_plain_table():
     rng = random.Random(1)
     for _ in range(60):

@@ -3,17 +3,18 @@
 The CGK walk reads a token sequence with one pointer; at each step it emits the token under the pointer and a
 random bit of that token decides whether the pointer moves on. Two walks with the same bits fall into step
 again after an insertion or deletion, so sequences at small edit distance emit sequences at small Hamming distance.
-Each of ``TABLES`` repetitions walks with its own bits and samples ``SAMPLES`` of the ``STEPS`` emitted tokens as its
-key. Windows of an item's size start at every token of a document and are compared with walks from every
-``STRIDE``-th token of the item, so an edit spoils a few repetitions of a passage, never all. Windows that
-share a key and ``MIN_SHARED`` of the item's tokens are verified: the edit distance in characters between the whole item and its best place in
-the window is at most ``max_distance`` of the item's length.
+A walk of ``STEPS`` steps starts at every token of every document and item; its key samples the first and the last step.
+Tables come in pairs of complementary bits, so one walk of a pair leaves its first token; walks that stay are skipped.
 
-With a share e of changed tokens a repetition survives with at least (1 - e) ** (STEPS / 2), as a walk covers
-about half as many tokens as it has steps; ``recall`` gives the chance that one of an item's repetitions does.
+Equal keys are votes for an item at a place. ``votes`` gives the tables that an item of n tokens uses, more for a short one, and
+the votes that it asks for: the most that still reach ``RECALL`` when a share ``CHANGED`` x ``max_distance`` of the tokens is changed, each at random. Votes are
+counted in a band of character diagonals that is as wide as the allowed edits can shift them. An item too short
+for walks to reach the recall has each of its tokens as a key; one of up to five doesn't reach it by tokens either and asks for one, or two of three.
+What is found is verified: the edit distance in characters between the whole item and its best place in
+the band is at most ``max_distance`` of the item's length.
 
 Items are read in blocks of at most ``BLOCK`` rows; a block's texts and keys are broadcast, which bounds what a task
-holds whatever the number of items.
+holds whatever the number of items. Votes are counted in parts of about ``HITS``.
 
 Defined cases: null and empty texts, and items without letters or digits, match nothing; repeated documents and
 items give a row each; empty tables give no rows; other columns are ignored.
@@ -21,10 +22,12 @@ items give a row each; empty tables give no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,16 @@ from pyspark.sql import functions as F
 from vitalstrand.llm.common import WordHashes
 from vitalstrand.session import stage
 
-STEPS, SAMPLES, TABLES, STRIDE = 20, 7, 3, 4
+#: Two moves; ``walk`` is written out for them.
+STEPS = 3
+#: Tables in use by length: the first entry at which one shared pair of tokens isn't enough, else the last.
+TABLES = (2, 4, 6, 8)
 MAX_DISTANCE = 0.2
-MIN_SHARED = 0.5
+#: Chance to find an item, and the share of its tokens that may be changed for it, as a multiple of the accepted distance:
+#: a changed token costs half of its letters or more.
+RECALL, CHANGED = 0.99, 2.0
+#: Votes expanded at once.
+HITS = 1_000_000
 BLOCK = 20_000
 #: Documents walked together: their arrays stay in a core's cache.
 GROUP = 128
@@ -59,51 +69,84 @@ def tokens(text: str | None) -> list[str]:
 
 
 class TokenHashes(WordHashes):
-    """Hash of the token of a piece; 0 for an empty one."""
+    """Hash of the token of a piece, with its length in the low bits; 0 for an empty one."""
 
     def compute(self, word: str) -> int:
         bare = token(word)
-        return xxhash.xxh64_intdigest(bare) or 1 if bare else 0
+        return xxhash.xxh64_intdigest(bare) & ~LENGTH | min(len(bare), LENGTH) if bare else 0
 
     def of_text(self, text: str | None) -> np.ndarray:
         hashes = self.of(text.split() if text else [])
         return hashes[hashes != 0]
 
 
-def _samples() -> list[np.ndarray]:
-    rng = np.random.Generator(np.random.PCG64(41))
-    return [np.sort(rng.choice(STEPS, SAMPLES, replace=False)) for _ in range(TABLES)]
+#: Bits of a token's hash that hold its length.
+LENGTH = (1 << 20) - 1
+SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1)) for t in range(TABLES[-1] + 1)]
 
 
-SAMPLED = _samples()
-SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1)) for t in range(TABLES)]
+def walk(hashes: np.ndarray, n: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key of the walk from each of the first ``n`` places by its first and last step, and the place of the last.
 
-
-def walk(hashes: np.ndarray, starts: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the walk from each start, and the place of the last token it samples.
-
-    ``hashes`` must reach ``STEPS`` places beyond the last start.
+    ``hashes`` must reach ``STEPS`` places beyond the last start. The table after the last has keys of one token.
     """
-    at = starts.copy()
-    key = np.full(len(starts), SEEDS[table])
-    # Each table has its own bits of the hash; small integers keep the gathers in cache.
-    bits = (hashes >> np.uint64(STEPS * table)).astype(np.uint32)
-    wanted = set(SAMPLED[table].tolist())
-    last = int(SAMPLED[table][-1])
+    if table == TABLES[-1]:
+        with np.errstate(over="ignore"):
+            return (SEEDS[table] + hashes[:n]) * np.uint64(0x9E3779B97F4A7C15), np.arange(n)
+    # The second table of a pair moves where the first one stays.
+    bits = (hashes >> np.uint64(32 + STEPS * (table // 2))).astype(np.uint8)
+    if table % 2:
+        bits = ~bits
+    first, second = (bits & 1).astype(bool), (bits >> 1) & 1
+    at = np.arange(n) + first[:n] + np.where(first[:n], second[1 : n + 1], second[:n])
     with np.errstate(over="ignore"):
-        for step in range(last + 1):
-            if step in wanted:
-                key = (key + hashes[at]) * np.uint64(0x9E3779B97F4A7C15)
-            if step < last:
-                at += (bits[at] >> np.uint32(step)) & np.uint32(1)
-        return key, at
+        key = ((SEEDS[table] + hashes[:n]) * np.uint64(0x9E3779B97F4A7C15) + hashes[at]) * np.uint64(0x9E3779B97F4A7C15)
+    return key, at
+
+
+@lru_cache(maxsize=4096)
+def vote_counts(changed: float, n_tokens: int, tables: int) -> np.ndarray:
+    """Sorted keys that ``n_tokens`` random tokens keep in 4,000 trials with this share of tokens changed at random."""
+    rng = np.random.Generator(np.random.PCG64(n_tokens))
+    trials, n = 4000, n_tokens
+    same = np.pad(rng.random((trials, n)) >= changed, ((0, 0), (0, STEPS)))
+    kept = np.zeros(trials, dtype=np.int64)
+    rows = np.arange(trials)[:, None]
+    start = np.arange(n)
+    for table in range(tables):
+        if table % 2 == 0:
+            item_bits = rng.random((STEPS, trials, n + STEPS)) < 0.5
+            doc_bits = np.where(same, item_bits, rng.random(item_bits.shape) < 0.5)
+        at, by = np.tile(start, (trials, 1)), np.tile(start, (trials, 1))
+        for step in range(STEPS - 1):
+            at += item_bits[step][rows, at] != bool(table % 2)
+            by += doc_bits[step][rows, by] != bool(table % 2)
+        kept += (same[:, :n] & (at == by) & same[rows, at] & (at > start) & (at < n)).sum(axis=1)
+    return np.sort(kept)
 
 
 def recall(changed: float, n_tokens: int) -> float:
-    """Chance that a passage of ``n_tokens`` with this share of changed tokens keeps one repetition, at least."""
-    anchors = max(1, (n_tokens - STEPS // 2) // STRIDE + 1)
-    spans = max(1, n_tokens // (STEPS // 2))
-    return 1 - (1 - (1 - changed) ** (STEPS / 2)) ** min(spans * TABLES, anchors * TABLES)
+    """Chance that a passage of ``n_tokens`` with this share of tokens changed at random keeps the votes it needs."""
+    tables, needed = votes(n_tokens)
+    if not tables:
+        return sum(math.comb(n_tokens, k) * (1 - changed) ** k * changed ** (n_tokens - k) for k in range(needed, n_tokens + 1))
+    return float((vote_counts(changed, min(n_tokens, 256), tables) >= needed).mean())
+
+
+def votes(n_tokens: int, max_distance: float = MAX_DISTANCE) -> tuple[int, int]:
+    """Tables and most votes that reach ``RECALL``; 0 tables for keys of one token. Over 256 tokens ask for no more than 256."""
+    changed = min(1.0, CHANGED * max_distance)
+    for tables in TABLES:
+        kept = vote_counts(changed, min(n_tokens, 256), tables)
+        needed = int(kept[int((1 - RECALL) * len(kept))])
+        if needed > tables:
+            break
+    if needed:
+        return tables, needed
+    kept, below = 0, 0.0
+    while below + (p := math.comb(n_tokens, kept) * (1 - changed) ** kept * changed ** (n_tokens - kept)) <= 1 - RECALL:
+        kept, below = kept + 1, below + p
+    return 0, kept or (1 if n_tokens > 3 else -(-n_tokens // 2))
 
 
 def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
@@ -133,39 +176,42 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """A block of items: normalised texts, and sorted keys with the item and offset they stand for."""
+    """A block of items: normalised texts, and sorted keys with the item and character offset they stand for."""
 
     ids: list[int]
-    words: list[list[str]]
-    hashes: list[np.ndarray] = field(default_factory=list)
+    texts: list[str]
+    edits: np.ndarray
+    votes: np.ndarray
     keys: list[np.ndarray] = field(default_factory=list)
     item: list[np.ndarray] = field(default_factory=list)
     offset: list[np.ndarray] = field(default_factory=list)
     seen: list[np.ndarray] = field(default_factory=list)
-    short: dict[int, list[int]] = field(default_factory=dict)
 
     @classmethod
-    def build(cls, rows: list[tuple[int, str]]) -> Items:
-        out = cls([], [])
+    def build(cls, rows: list[tuple[int, str]], max_distance: float = MAX_DISTANCE) -> Items:
+        ids, texts, needed = [], [], []
         hashes = TokenHashes()
-        found = [([], [], []) for _ in range(TABLES)]
+        found = [([], [], []) for _ in range(TABLES[-1] + 1)]
         for item_id, text in rows:
             words = tokens(text)
             if not words:
                 continue
-            number = len(out.ids)
-            out.ids.append(item_id)
-            out.words.append(words)
-            out.hashes.append(hashes.of_text(text))
-            # Past its end a short item is padded by a token of its own, as documents are.
-            h = np.concatenate([hashes.of_text(text), PAD])
-            starts = np.arange(0, len(words), STRIDE)
-            for t in range(TABLES):
-                key, last = walk(h, starts, t)
-                inside = last < len(words)
-                for group, values in zip(found[t], (key[inside], np.full(int(inside.sum()), number), starts[inside]), strict=True):
+            number, whole = len(ids), " ".join(words)
+            ids.append(item_id)
+            tables, n = votes(len(words), max_distance)
+            needed.append(n)
+            texts.append(whole)
+            own = hashes.of_text(text)
+            begins = char_starts(own)
+            h = np.concatenate([own, PAD])
+            starts = np.arange(len(words))
+            for t in range(tables) if tables else [TABLES[-1]]:
+                key, last = walk(h, len(words), t)
+                good = (last > starts) & (last < len(words)) if tables else starts == starts
+                for group, values in zip(found[t], (key[good], np.full(int(good.sum()), number), begins[good]), strict=True):
                     group.append(values)
-        for t in range(TABLES):
+        out = cls(ids, texts, np.array([int(max_distance * len(t)) for t in texts], dtype=np.int64), np.array(needed, dtype=np.int64))
+        for t in range(TABLES[-1] + 1):
             key, item, offset = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in found[t])
             key = key.astype(np.uint64)
             order = np.argsort(key, kind="stable")
@@ -175,66 +221,124 @@ class Items:
             out.item.append(item[order])
             out.offset.append(offset[order])
             out.seen.append(seen)
-        # An item too short for any walk is found by its first token.
-        reached = set(np.concatenate(out.item).tolist()) if out.item else set()
-        for number, words in enumerate(out.words):
-            if number not in reached:
-                out.short.setdefault(int(hashes.of(words[:1])[0]), []).append(number)
         return out
 
 
-PAD = np.arange(STEPS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1)
+PAD = (np.arange(STEPS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1 << 20)) & ~np.uint64(LENGTH)
+
+
+def char_starts(hashes: np.ndarray) -> np.ndarray:
+    """Place of each token in the text of the tokens, one space between."""
+    ends = np.cumsum((hashes & np.uint64(LENGTH)).astype(np.int64) + 1)
+    return np.append(0, ends)[: len(hashes)]
+
+
+def _counted(doc: np.ndarray, number: np.ndarray, band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of ``n`` by (doc, number, band)."""
+    order = np.lexsort((band, number, doc))
+    doc, number, band = doc[order], number[order], band[order]
+    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (band[1:] != band[:-1])))
+    return doc[first], number[first], band[first], np.add.reduceat(n[order], first)
 
 
-def candidates(hashes: np.ndarray, items: Items) -> list[tuple[int, int, int]]:
-    """(start, item, offset) of windows of padded token hashes that share a key with an item."""
-    starts = np.arange(len(hashes) - STEPS)
-    out = []
-    for t in range(TABLES):
-        key, _ = walk(hashes, starts, t)
+def candidates(hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray, items: Items) -> dict[int, list[tuple[int, int, int]]]:
+    """(item number, least and most diagonal) by document, of the bands where an item has the votes it needs.
+
+    ``hashes`` are the padded tokens of some documents, ``doc`` and ``begins`` their document and place. A diagonal is the place at
+    which the item would begin; band b of an item with d edits has diagonals b (d + 1) to (b + 2) (d + 1), so that diagonals at
+    most d apart share a band.
+    """
+    sums: list[tuple[np.ndarray, ...]] = []
+    for t in range(TABLES[-1] + 1):
+        if not len(items.keys[t]):
+            continue
+        key, at = walk(hashes, len(hashes) - STEPS, t)
         hit = np.flatnonzero(items.seen[t][(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
         low = np.searchsorted(items.keys[t], key[hit], side="left")
-        high = np.searchsorted(items.keys[t], key[hit], side="right")
-        for s, a, b in zip(hit[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-            out += [(s, int(i), int(o)) for i, o in zip(items.item[t][a:b], items.offset[t][a:b], strict=True)]
+        size = np.searchsorted(items.keys[t], key[hit], side="right") - low
+        good = (size > 0) & ((at[hit] > hit) | (t == TABLES[-1])) & (doc[at[hit]] == doc[hit]) & (begins[at[hit]] > 0)
+        hit, low, size = hit[good], low[good], size[good]
+        part = np.cumsum(size) // HITS
+        for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side=s) for s in ("left", "right")), strict=True):
+            n, place = size[lo:hi], hit[lo:hi]
+            source = np.repeat(low[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            number = items.item[t][source]
+            band = (np.repeat(begins[place], n) - items.offset[t][source]) // (items.edits[number] + 1)
+            of = np.repeat(doc[place], n)
+            sums.append(_counted(of, number, band, np.ones(len(of), dtype=np.int64)))
+    if not sums:
+        return {}
+    of, number, band, n = _counted(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+    # A band is two neighbouring cells.
+    next_ = np.append((of[1:] == of[:-1]) & (number[1:] == number[:-1]) & (band[1:] == band[:-1] + 1), False)
+    both = n + np.where(next_, np.append(n[1:], 0), 0)
+    out: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+    for k in np.flatnonzero(both >= items.votes[number]).tolist():
+        d = int(items.edits[number[k]]) + 1
+        out[int(of[k])].append((int(number[k]), int(band[k]) * d, (int(band[k]) + 2) * d))
     return out
 
 
+def may_hold(window: str, pattern: str, d: int) -> bool:
+    """False if ``pattern`` can't be within ``d`` edits of a part of ``window``: an edit spoils one of disjoint pieces at most."""
+    for size in (3, 4):
+        for phase in range(size):
+            spoiled = 0
+            for k in range(phase, len(pattern) - size + 1, size):
+                if pattern[k : k + size] not in window:
+                    spoiled += 1
+                    if spoiled > d:
+                        return False
+    return True
+
+
 def verify(
-    text: str, found: set[tuple[int, int]], items: Items, max_distance: float, memo: TokenHashes
+    text: str, begins: np.ndarray, found: list[tuple[int, int, int]], items: Items
 ) -> Iterator[tuple[int, int, int, int, float]]:
     """(item number, start, end, distance, similarity) of the items that are in ``text`` at some found place.
 
-    ``found`` has (item number, token at which the item would begin). Best place of each item only.
+    ``found`` has (item number, least and most place at which it would begin in the text of the tokens, one space between and
+    around), ``begins`` the place of each token there. Best place of each item only.
     """
     pieces = text.split()
-    known = memo.of(pieces)
-    places = np.flatnonzero(known)
+    words = [t for t in map(token, pieces) if t] if len(found) > len(begins) // 16 else None
+    place = None
     best: dict[int, tuple[int, int, int]] = {}
-    for number, at in sorted(found):
-        words = items.words[number]
-        pattern = " ".join(words)
-        slack = int(max_distance * len(words)) + 2
-        lo, hi = max(0, at - slack), min(len(places), at + len(words) + slack)
-        if np.isin(items.hashes[number], known[places[lo:hi]]).mean() < MIN_SHARED:
+    done: dict[int, int] = {}
+    for number, least, most in sorted(found):
+        pattern, d = items.texts[number], int(items.edits[number])
+        # Windows of one item come by their beginning; what the last one covered is not read again.
+        lo, hi = max(least - d, done.get(number, 0) - len(pattern) - d), most + len(pattern) + d
+        if hi <= done.get(number, 0):
+            continue
+        done[number] = hi
+        a = max(0, int(np.searchsorted(begins, lo, side="right")) - 1)
+        b = int(np.searchsorted(begins, hi, side="left"))
+        if words is None and place is None:
+            place = [k for k, x in enumerate(pieces) if token(x)] if len(pieces) != len(begins) else range(len(pieces))
+        part = words[a:b] if words is not None else [token(pieces[k]) for k in place[a:b]]
+        window = f" {' '.join(part)} "
+        if not may_hold(window, pattern, d):
             continue
-        part = [token(pieces[k]) for k in places[lo:hi]]
-        distance, end = edit_distance_within(pattern, " ".join(part))
-        if distance <= max_distance * len(pattern) and (number not in best or distance < best[number][0]):
-            _, length = edit_distance_within(pattern[::-1], " ".join(part)[:end][::-1])
-            ends = np.cumsum([len(w) + 1 for w in part])
-            first = int(np.searchsorted(ends, end - length, side="right"))
-            last = min(int(np.searchsorted(ends, end - 1, side="right")), len(part) - 1)
-            best[number] = (distance, int(places[lo + first]), int(places[lo + last]))
+        distance, end = edit_distance_within(pattern, window)
+        if distance <= d and (number not in best or distance < best[number][0]):
+            _, length = edit_distance_within(pattern[::-1], window[:end][::-1])
+            inside = window[end - length : end]
+            begin, stop = end - len(inside.lstrip()), end - length + len(inside.rstrip())
+            # Word k ends before ends[k], its space.
+            ends = 1 + np.cumsum([len(w) + 1 for w in part]) - 1
+            first = min(int(np.searchsorted(ends, begin, side="right")), len(part) - 1)
+            last = min(int(np.searchsorted(ends, stop, side="left")), len(part) - 1)
+            best[number] = (distance, a + first, a + max(first, last))
     if best:
-        spans = [m.span() for m in PIECE.finditer(text)]
+        spans = [m.span() for m in PIECE.finditer(text) if token(m[0])]
         for number, (distance, first, last) in best.items():
-            yield number, spans[first][0], spans[last][1], distance, 1 - distance / len(" ".join(items.words[number]))
+            yield number, spans[first][0], spans[last][1], distance, 1 - distance / len(items.texts[number])
 
 
 def find_items(docs: DataFrame, rows: list[tuple[int, str]], max_distance: float = MAX_DISTANCE) -> DataFrame:
     """Matches of one block of items in every row of ``docs`` (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(Items.build(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(Items.build(rows, max_distance))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, memo = shared.value, TokenHashes()
@@ -243,18 +347,13 @@ def find_items(docs: DataFrame, rows: list[tuple[int, str]], max_distance: float
                 part = batch.slice(lo, GROUP)
                 texts = part.column(1).to_pylist()
                 words = [memo.of_text(t) for t in texts]
-                places = np.concatenate([[0], np.cumsum([len(w) + STEPS for w in words])])
+                doc = np.repeat(np.arange(len(words)), [len(w) + STEPS for w in words])
                 hashes = np.concatenate([x for w in words for x in (w, PAD)])
-                found: dict[int, set] = defaultdict(set)
-                for s, item, offset in candidates(hashes, items):
-                    doc = int(np.searchsorted(places, s, side="right")) - 1
-                    found[doc].add((item, s - int(places[doc]) - offset))
-                if items.short:
-                    for doc, w in enumerate(words):
-                        for first in np.intersect1d(w, np.fromiter(items.short, np.uint64)):
-                            found[doc].update((n, int(at)) for at in np.flatnonzero(w == first) for n in items.short[int(first)])
+                # Documents begin at 1, after the space before their first token.
+                begins = np.concatenate([x for w in words for x in (1 + char_starts(w), np.zeros(STEPS, np.int64))])
+                found = candidates(hashes, doc, begins, items)
                 ids = part.column(0).to_pylist()
-                out = [(ids[d], items.ids[n], *rest) for d in sorted(found) for n, *rest in verify(texts[d], found[d], items, max_distance, memo)] if found else []
+                out = [(ids[d], items.ids[n], *rest) for d in sorted(found) for n, *rest in verify(texts[d], 1 + char_starts(words[d]), found[d], items)]
                 columns = list(zip(*out, strict=True)) or [[]] * 6
                 types = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["doc_id", "item_id", "start", "end", "distance", "similarity"])
