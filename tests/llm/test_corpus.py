@@ -304,6 +304,17 @@ def test_html_text_and_repeated_runs(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_html_copied_pages_keep_their_text(spark):
+    rng = random.Random(5)
+    draw = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    twice, often, quote = draw(40), draw(40), draw(15)
+    texts = {("two", i): twice for i in range(2)} | {("many", i): often for i in range(2000)} | {(None, i): twice for i in range(5)}
+    texts |= {("quote", i): f"{draw(20)} {quote} {draw(20)}" if i < 2 else draw(50) for i in range(6)}
+    rows = [(k, f"http://{h}.org/{i}" if h else None, PAGE.format(f"<div><p>{t}</div>")) for k, ((h, i), t) in enumerate(texts.items())]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), 20_000).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
 def test_suffix_ranks_against_slices():
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, 60)

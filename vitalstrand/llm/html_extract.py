@@ -3,16 +3,16 @@
 Structure decides what it can: markup, scripts, styles, forms and elements that name a page part (menu, header,
 footer, sidebar, notice, advert, comments) are never main text, and where a page marks its article that is the main
 text. What lies outside is the page's loose text. Loose blocks and the furniture's text of a host's pages are concatenated
-into one token stream, and long token runs that occur on distinct pages are boilerplate; where a page has no marked
+into one token stream, and token runs that ``LEAST`` of the host's distinct texts or more hold, and a share ``SHARE`` of them, are boilerplate; where a page has no marked
 article its main text is the loose blocks, less the tokens that such runs cover.
 
 A host's stream is dealt to shards of bounded size. A suffix array of each shard (prefix doubling, so suffixes that
-share their first ``RUN`` tokens have one rank) finds the runs that repeat inside it. Runs seen on one page of a
-shard only, and one row for every other run of the shard, are then matched across the shards of the host by a combining
-aggregate, so the outcome doesn't depend on the shards and no host has to fit a task.
+share their first ``RUN`` tokens have one rank) finds the runs that repeat inside it. Runs are then counted by distinct text across
+the shards of the host by a combining aggregate, so the outcome doesn't depend on the shards and no host has to fit a task. Pages with the
+same tokens, whatever their id and url, are one text: copies of a page don't make its text boilerplate.
 
-Defined cases: null or empty html gives empty text; a null url is a host of its own; repeated rows are extracted each,
-and rows of one ``page_id`` and url count as one page; very long pages are read whole; an unclosed element ends with
+Defined cases: null or empty html gives empty text; a page without a host in its url shares runs with no other; repeated rows are
+extracted each; a page that runs would empty keeps its text; very long pages are read whole; an unclosed element ends with
 its parent or the page; an empty table gives no rows; other columns are ignored.
 """
 
@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from vitalstrand.session import stage
 
 #: Tokens of the shortest run that counts as boilerplate, and the tokens of one shard.
-RUN = 8
+RUN = 10
+#: Distinct texts of a host that hold a boilerplate run: their least number and their share.
+LEAST, SHARE = 3, 0.25
 SHARD_TOKENS = 200_000
 
 # Elements whose content is never text of the page.
@@ -198,9 +200,9 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
 
 
 def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a shard as (host, run, page, at, spread): spread where the shard has the run on several pages."""
+    """Runs of a shard as (host, run, page, at, row), boilerplate only if it is the host's only shard."""
     streams = [np.array(t, dtype=np.int64) for t in rows["tokens"]]
-    columns = ["host", "run", "page", "at", "spread"]
+    columns = ["host", "run", "page", "at", "row"]
     lengths = np.array([len(s) for s in streams])
     if not lengths.sum():
         return pd.DataFrame([], columns=columns)
@@ -213,31 +215,32 @@ def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     owner, place, rank, start = owner[fits], place[fits], rank[fits], np.flatnonzero(fits)
     if not len(rank):
         return pd.DataFrame([], columns=columns)
-    # Pages are told apart by their hash: two rows of one page are one page.
+    # Texts are told apart by their hash: two rows of one text are one.
     page = rows["page"].to_numpy()[owner]
     order = np.lexsort((page, rank))
     r, p = rank[order], page[order]
     new = np.append(True, r[1:] != r[:-1])
     group = np.cumsum(new) - 1
-    first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(r)) - 1
-    spread = (p[first] != p[last])[group]
+    holders = np.add.reduceat(new | np.append(True, p[1:] != p[:-1]), np.flatnonzero(new), dtype=np.int64)[group]
     with np.errstate(over="ignore"):
         run = np.zeros(len(start), dtype=np.uint64)
         for i in range(RUN):
             run = run * np.uint64(0x9E3779B97F4A7C15) + joined[start + i].astype(np.uint64)
-    out = pd.DataFrame({"host": key[0], "run": run[order].view(np.int64), "page": p, "at": place[order], "spread": spread})
-    out["row"] = rows["row"].to_numpy()[owner][order]
-    return out
+    out = pd.DataFrame({"host": key[0], "run": run[order].view(np.int64), "page": p, "at": place[order], "row": rows["row"].to_numpy()[owner][order]})
+    return out[holders >= max(LEAST, SHARE * rows["texts"].iloc[0])] if rows["shards"].iloc[0] == 1 else out
 
 
 def repeated_runs(streams: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(row, starts) of rows of ``streams`` (row, host, page, tokens): where runs begin that other pages of the host have."""
-    sizes = streams.groupBy("host").agg(F.sum(F.size("tokens")).alias("total"))
-    shards = sizes.select("host", F.ceil(F.greatest(F.col("total"), F.lit(1)) / shard_tokens).alias("shards"))
-    dealt = streams.join(shards, "host").withColumn("shard", F.pmod(F.col("row"), F.col("shards")))
-    runs = dealt.groupBy("host", "shard").applyInPandas(_shard, "host string, run long, page long, at int, spread boolean, row long")
+    """(row, starts) of rows of ``streams`` (row, host, page, tokens; page is the hash of a text): where boilerplate runs begin."""
+    # One row a text first, so a host of many pages is counted by many tasks.
+    texts = streams.groupBy("host", "page").agg(F.sum(F.size("tokens")).alias("total"))
+    sizes = texts.groupBy("host").agg(F.sum("total").alias("total"), F.count("*").alias("texts"))
+    hosts = stage(sizes.select("host", F.ceil(F.greatest(F.col("total"), F.lit(1)) / shard_tokens).alias("shards"), "texts"), "page_hosts")
+    dealt = streams.join(hosts, "host").withColumn("shard", F.pmod(F.col("row"), F.col("shards")))
+    runs = dealt.groupBy("host", "shard").applyInPandas(_shard, "host string, run long, page long, at int, row long")
     runs = stage(runs, "page_runs")
-    across = runs.groupBy("host", "run").agg(F.min("page").alias("lo"), F.max("page").alias("hi")).filter("lo <> hi").select("host", "run")
+    across = runs.select("host", "run", "page").distinct().groupBy("host", "run").agg(F.count("*").alias("holders"))
+    across = across.join(hosts, "host").filter(F.col("holders") >= F.greatest(F.lit(LEAST), F.col("texts") * SHARE)).select("host", "run")
     return runs.join(across, ["host", "run"]).groupBy("row").agg(F.collect_list("at").alias("starts"))
 
 
@@ -250,9 +253,8 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     def hashes(loose: pd.Series) -> pd.Series:
         return loose.map(lambda b: [xxhash.xxh64_intdigest(w) >> 2 for x in b for w in x.split()])
 
-    page = F.xxhash64("page_id", "url")
     outside = F.concat("loose", "around")
-    streams = parsed.select("row", "host", page.alias("page"), hashes(outside).alias("tokens")).filter(F.size("tokens") >= RUN)
+    streams = parsed.filter("host <> ''").select("row", "host", F.xxhash64("article", F.concat_ws(" ", "loose")).alias("page"), hashes(outside).alias("tokens"))
     starts = repeated_runs(streams, shard_tokens)
 
     @F.pandas_udf("struct<text string, n_repeated long>")
@@ -266,7 +268,7 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
                 np.add.at(covered, np.asarray(at), 1)
                 np.add.at(covered, np.asarray(at) + RUN, -1)
             covered = covered.cumsum()[:total] > 0
-            text = whole if whole is not None else " ".join(w for w, c in zip(words, covered, strict=False) if not c)
+            text = whole if whole is not None else " ".join(w for w, c in zip(words, covered, strict=False) if not c) or " ".join(words)
             out.append((text, int(covered.sum())))
         return pd.DataFrame(out, columns=["text", "n_repeated"])
 
