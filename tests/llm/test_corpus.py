@@ -315,6 +315,20 @@ def test_html_copied_pages_keep_their_text(spark):
     assert got == dict(enumerate(texts.values()))
 
 
+def test_html_repeated_blocks_inside_main(spark):
+    rng = random.Random(6)
+    draw = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    notice, copied, own = draw(14), draw(60), [draw(40) for _ in range(9)]
+    page = "<main><div class=box-x>{1}</div><article class='post has-sidebar'><p>{0}</p></article><article class=comment id=comment-1><p>nice</p></article></main>"
+    rows = [(i, f"http://h.org/{i}", PAGE.format(page.format(t, notice))) for i, t in enumerate(own)]
+    rows += [(20 + i, f"http://c.org/{i}", PAGE.format(f"<article><p>{copied if i < 6 else own[i]}</p></article>")) for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for tokens in (200_000, 100):
+        got = {r["page_id"]: r["text"] for r in html_extract.extract(df, tokens).collect()}
+        assert [got[i] for i in range(9)] == own
+        assert [got[20 + i] for i in range(9)] == [copied] * 6 + own[6:]
+
+
 def test_suffix_ranks_against_slices():
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, 60)

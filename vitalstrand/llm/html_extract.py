@@ -2,8 +2,9 @@
 
 Structure decides what it can: markup, scripts, styles, forms and elements that name a page part (menu, header,
 footer, sidebar, notice, advert, comments) are never main text, and where a page marks its article that is the main
-text. What lies outside is the page's loose text. Loose blocks and the furniture's text of a host's pages are concatenated
-into one token stream, and token runs that ``LEAST`` of the host's distinct texts or more hold, and a share ``SHARE`` of them, are boilerplate; where a page has no marked
+text, less the blocks that are boilerplate. What lies outside is the page's loose text. Article blocks, loose blocks and the furniture's text of a host's pages are concatenated
+into one token stream, and token runs that ``LEAST`` of the host's distinct texts or more hold, and a share ``SHARE`` of them, are boilerplate: a block
+of the article goes if such runs cover it whole; where a page has no marked
 article its main text is the loose blocks, less the tokens that such runs cover.
 
 A host's stream is dealt to shards of bounded size. A suffix array of each shard (prefix doubling, so suffixes that
@@ -65,6 +66,10 @@ _BLOCKS, _VOID, _INLINE, _FURNITURE, _NAMES, _ROLES = map(frozenset, (BLOCKS, VO
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
+#: Class and id of an article that is a reader's comment or a teaser: whole names, or the first part of one.
+_NOTE = re.compile(r"(?:div-)?(?:comment|reply)(?:[-_].*)?", re.S)
+
+
 def furniture(name: str, attributes: str) -> bool:
     """Whether an element is a part of the page other than its text, by its name, role, class or id."""
     if name in _FURNITURE:
@@ -78,6 +83,9 @@ def furniture(name: str, attributes: str) -> bool:
             return True
         if key in ("class", "id") and name not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(WORD.findall(value)):
             return True
+        # Names of an article tell more than its part of the page ("has-sidebar"); whole ones count.
+        if key in ("class", "id") and name == "article" and any(v in _NAMES or _NOTE.fullmatch(v) for v in value.split()):
+            return True
     return False
 
 
@@ -138,8 +146,8 @@ def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
             if name in ("p", "li") and open_ and open_[-1][0] == name:
                 bad, article = open_.pop()[1:]
             open_.append((name, bad, article))
-            starts = name in ("article", "main") and not bad
             now_bad = bad or ((name != "header" or not article) and furniture(name, m["attr"]))
+            starts = name in ("article", "main") and not now_bad
             if (now_bad, article or starts) != (bad, article):
                 flush()
                 bad, article = now_bad, article or starts
@@ -164,7 +172,7 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     part.column(0),
                     part.column(1),
                     pa.array([host_of(u) for u in urls], pa.string()),
-                    pa.array([" ".join(b) if marked else None for b, _, _, marked in found], pa.string()),
+                    pa.array([b if marked else None for b, _, _, marked in found], pa.list_(pa.string())),
                     pa.array([b for _, b, _, _ in found], pa.list_(pa.string())),
                     pa.array([b for _, _, b, _ in found], pa.list_(pa.string())),
                 ],
@@ -172,7 +180,7 @@ def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-PARSED = "page_id long, url string, host string, article string, loose array<string>, around array<string>"
+PARSED = "page_id long, url string, host string, article array<string>, loose array<string>, around array<string>"
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -245,7 +253,7 @@ def repeated_runs(streams: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataF
 
 
 def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """page_id, url, text, n_chars, n_repeated (tokens outside the article that repeated runs cover) of every row of ``pages``."""
+    """page_id, url, text, n_chars, n_repeated (tokens that boilerplate runs cover) of every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = stage(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "pages_parsed")
 
@@ -253,22 +261,29 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     def hashes(loose: pd.Series) -> pd.Series:
         return loose.map(lambda b: [xxhash.xxh64_intdigest(w) >> 2 for x in b for w in x.split()])
 
-    outside = F.concat("loose", "around")
-    streams = parsed.filter("host <> ''").select("row", "host", F.xxhash64("article", F.concat_ws(" ", "loose")).alias("page"), hashes(outside).alias("tokens"))
+    all_ = F.concat(F.coalesce("article", F.array().cast("array<string>")), "loose", "around")
+    streams = parsed.filter("host <> ''").select("row", "host", F.xxhash64(F.concat_ws(" ", "article"), F.concat_ws(" ", "loose")).alias("page"), hashes(all_).alias("tokens"))
     starts = repeated_runs(streams, shard_tokens)
 
     @F.pandas_udf("struct<text string, n_repeated long>")
     def finish(article: pd.Series, loose: pd.Series, around: pd.Series, starts: pd.Series) -> pd.DataFrame:
         out = []
-        for whole, parts, rest, at in zip(article, loose, around, starts, strict=True):
+        for inside, parts, rest, at in zip(article, loose, around, starts, strict=True):
+            main = [x.split() for x in (inside if inside is not None else ())]
             words = [w for x in parts for w in x.split()]
-            total = len(words) + sum(len(x.split()) for x in rest)
+            first = sum(map(len, main))
+            total = first + len(words) + sum(len(x.split()) for x in rest)
             covered = np.zeros(total + 1, dtype=np.int64)
             if at is not None and len(at):
                 np.add.at(covered, np.asarray(at), 1)
                 np.add.at(covered, np.asarray(at) + RUN, -1)
             covered = covered.cumsum()[:total] > 0
-            text = whole if whole is not None else " ".join(w for w, c in zip(words, covered, strict=False) if not c) or " ".join(words)
+            if inside is not None:
+                ends = np.cumsum([0, *map(len, main)])
+                kept = [x for x, lo, hi in zip(inside, ends, ends[1:]) if not covered[lo:hi].all()]
+                text = " ".join(kept or inside)
+            else:
+                text = " ".join(w for w, c in zip(words, covered, strict=False) if not c) or " ".join(words)
             out.append((text, int(covered.sum())))
         return pd.DataFrame(out, columns=["text", "n_repeated"])
 
