@@ -329,6 +329,21 @@ def test_html_repeated_blocks_inside_main(spark):
         assert [got[20 + i] for i in range(9)] == [copied] * 6 + own[6:]
 
 
+def test_html_raw_elements_without_an_end_tag():
+    text = lambda page: html_extract.blocks(page)[:2]
+    article = "<article><p>main text</p></article>"
+    for odd in ('<svg class="icon"/>', "<math/>", "<datalist id=d><option value=1>one<option>two</datalist>", "<svg><path d='x'>", "<svg><g><svg/></g></svg>"):
+        assert text(f"<body><div>{odd}</div>{article}</body>") == (["main text"], []), odd
+        assert text(f"<body>{article}<div>{odd}</div><p>after</p></body>") == (["main text"], ["after"]), odd
+    for name in ("noscript", "template", "iframe", "object", "canvas", "textarea", "select", "title", "svg", "math"):
+        assert text(f"<body><div><{name}>no</div>{article}<p>after</body>") == (["main text"], ["after"]), name
+        assert text(f"<body><div><{name}>no</{name}>yes</div>{article}</body>") == (["main text"], ["yes"]), name
+    assert text(f"<div><canvas>no</div>{article}<canvas>no</canvas>") == (["main text"], [])
+    assert text(f"<body><svg class=icon>{article}</body>") == (["main text"], [])
+    assert text(f"<div><textarea></div> no</textarea>yes</div>{article}") == (["main text"], ["yes"])
+    assert text(f"<div><script>no</div>{article}") == ([], [])
+
+
 def test_suffix_ranks_against_slices():
     rng = np.random.default_rng(1)
     t = rng.integers(0, 3, 60)

@@ -39,9 +39,11 @@ LEAST, SHARE = 3, 0.25
 SHARD_TOKENS = 200_000
 
 # Elements whose content is never text of the page.
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "option", "head", "title")
+RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "head", "title")
+# Those whose content is plain text, up to the first end tag.
+PLAIN = ("script", "style", "textarea", "iframe", "title")
 # Elements, roles and name parts of page furniture.
-FURNITURE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button")
+FURNITURE = ("nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "datalist", "option", "optgroup")
 ROLES = ("navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu")
 NAMES = (
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie",
@@ -89,6 +91,45 @@ def furniture(name: str, attributes: str) -> bool:
     return False
 
 
+def raw_end(page: str, name: str, at: int, parents: set[str]) -> int:
+    """Place after the raw element whose start tag ends at ``at``; an unclosed one ends before the end tag of its parent.
+
+    Unclosed script and style reach to the end of the page; unclosed svg and math end before the next block too.
+    """
+    end = _RAW_END[name].search(page, at)
+    if end and name in PLAIN:
+        return end.end()
+    if name in ("script", "style"):
+        return len(page)
+    inner: list[str] = []
+    block = None
+    place = at
+    while m := TAG.search(page, place):
+        place = m.end()
+        if not m["name"]:
+            continue
+        tag = m["name"].lower()
+        if m["close"]:
+            if tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            elif tag == name:
+                return m.end()
+            elif tag in parents:
+                break
+        elif tag in ("script", "style"):
+            close = _RAW_END[tag].search(page, place)
+            place = close.end() if close else len(page)
+        else:
+            block = m.start() if block is None and tag in _BLOCKS else block
+            if not end and block is not None and name in ("svg", "math"):
+                break
+            if tag not in _VOID and not (m["attr"] or "").rstrip().endswith("/"):
+                inner.append(tag)
+    if name in ("svg", "math") and block is not None:
+        return block
+    return m.start() if m else len(page)
+
+
 def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
     """Blocks of the article, loose blocks, blocks of page furniture, and whether there is an article.
 
@@ -137,13 +178,13 @@ def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
                     bad, article = open_[place][1:]
                     del open_[place:]
         elif name in _RAW_END:
-            end = _RAW_END[name].search(page, at)
-            if name not in ("head",):
-                at = end.end() if end else len(page)
-            elif end:
-                at = end.end()
+            if name == "head":
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else at
+            elif name not in ("svg", "math") or not (m["attr"] or "").rstrip().endswith("/"):
+                at = raw_end(page, name, at, {o[0] for o in open_})
         elif name not in _VOID and not (m["attr"] or "").rstrip().endswith("/"):
-            if name in ("p", "li") and open_ and open_[-1][0] == name:
+            if name in ("p", "li", "option") and open_ and open_[-1][0] == name:
                 bad, article = open_.pop()[1:]
             open_.append((name, bad, article))
             now_bad = bad or ((name != "header" or not article) and furniture(name, m["attr"]))
