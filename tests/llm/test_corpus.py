@@ -252,6 +252,13 @@ def test_url_rules_and_words(spark):
     assert url_filter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_name_on_many_hosts_is_split(spark):
+    urls = [f"http://{sub}cheappills{end}/{i}" for i in range(3) for sub in ("", "www.", "m.", "blog.") for end in (".net", ".info", ".co.uk", ".example.net")]
+    urls += [f"http://{h}.example.net/{i}" for i in range(12) for h in ("cheap-pills", "free-pills", f"calm{i}", f"quiet{i}")]
+    got = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all((r["verdict"] == "block") == ("pills" in r["host"]) for r in got)
+
+
 def test_mix_meets_limit_and_budget(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" * 3 for _ in range(rng.randrange(0, 40))), "en", rng.choice("aaaaaabbbc") if i % 50 else None, 1, "x", 1) for i in range(3000)]

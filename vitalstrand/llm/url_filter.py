@@ -1,9 +1,9 @@
 """URL verdicts: host word segmentation by unigram Viterbi, then multinomial naive Bayes.
 
 Hosts are concatenated names, so each distinct host label is split into the words that make it most likely under a
-unigram model: counts of the letter runs of paths, of hyphenated host labels and of labels that several hosts share, plus
-the seed words. The tokens of host and path then vote by naive Bayes. Labels for the fit are weak: a url is a bad example if
-a piece that stands alone in its host or path is a seed word, a good one otherwise; every url counts. Rules
+unigram model: counts of the letter runs of paths, of hyphenated host labels and of labels that don't split into such words, plus
+the seed words. Labels are counted once a registered name, so a concatenated name is split on however many hosts it is. The tokens of host and path then vote by naive Bayes. Labels for the fit are weak: a url is a bad example if
+a piece that stands alone in its host or path is a seed word, or one of its host splits into seed words only, a good one otherwise; every url counts. Rules
 go before the model's verdict.
 
 The word model and the token weights are bounded tables (most frequent ``MODEL_WORDS``), so they can be sent to tasks;
@@ -29,8 +29,8 @@ from vitalstrand.session import stage
 MODEL_WORDS = 50_000
 #: Longest word of the unigram model.
 LONGEST = 24
-#: Hosts that share a label which then counts as a word.
-SHARED_LABEL = 3
+# Labels under which countries register names (co.uk).
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "or", "org")
 
 # Words that mark a url as unwanted, the seeds of the weak labels.
 SEEDS = (
@@ -108,6 +108,14 @@ def fit_words(hosts: DataFrame, paths: DataFrame, size: int = MODEL_WORDS) -> Wo
     return Words({w: math.log(n / total) for w, n in rows.items()}, math.log(0.5 / total))
 
 
+def host_labels(hosts: DataFrame) -> DataFrame:
+    """Labels of distinct hosts with the number ``n`` of registered names that have them."""
+    labels = F.split("host", "[.]")
+    deep = (F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.element_at(labels, -2).isin(*SECOND_LEVEL)
+    name = F.when(deep, F.element_at(labels, -3)).when(F.size(labels) > 1, F.element_at(labels, -2)).otherwise(F.element_at(labels, -1))
+    return hosts.select(name.alias("name"), F.explode(labels).alias("label")).distinct().groupBy("label").agg(F.count("*").alias("n"))
+
+
 @dataclass(frozen=True)
 class Bayes:
     """Log-odds of a bad url: the prior and one weight for each known token; others have ``unknown``."""
@@ -126,16 +134,29 @@ def judge_urls(pages: DataFrame, rules=RULES, size: int = MODEL_WORDS, smoothing
     seeds = F.array(*[F.lit(s) for s in SEEDS])
     named = rows.select("host", pieces(F.col("path")).alias("in_path"))
     grams = named.select("host", F.explode("in_path").alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    # A label counts where hyphens already split it, or as a name that several hosts share; others are what is to be split.
-    labels = hosts.select(F.explode(F.split("host", "[.]")).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    labels = labels.filter((F.col("n") >= SHARED_LABEL) | F.contains("label", F.lit("-")))
-    words = fit_words(labels.select(F.explode(pieces(F.col("label"))).alias("piece"), "n"), grams, size)
+    # Hyphens already split a label; one that splits into the words so known is a concatenated name, the others are words.
+    labels = stage(host_labels(hosts), "url_labels")
+    split = F.contains("label", F.lit("-"))
+    runs = labels.select(F.explode(pieces(F.col("label"))).alias("piece"), "n", split.alias("split"))
+    known = stage(runs.filter("split").select("piece", "n").unionByName(grams), "url_words")
+    base = fit_words(known.limit(0), known, size)
+
+    @F.pandas_udf("boolean")
+    def whole(piece: pd.Series) -> pd.Series:
+        return piece.map(lambda p: len(base.split(p)) == 1)
+
+    words = fit_words(runs.filter("not split").filter(whole("piece")).select("piece", "n"), known, size)
 
     @F.pandas_udf("array<string>")
     def segment(host: pd.Series) -> pd.Series:
         return host.map(lambda h: [w for p in re.findall(r"[^\W\d_]+", h) for w in words.split(p)])
 
-    cut = hosts.select("host", "n", segment("host").alias("in_host"), F.arrays_overlap(pieces(F.col("host")), seeds).alias("bad"))
+    @F.pandas_udf("boolean")
+    def seeded(host: pd.Series) -> pd.Series:
+        return host.map(lambda h: any(all(w in SEEDS for w in words.split(p)) for p in re.findall(r"[^\W\d_]+", h)))
+
+    bad = F.arrays_overlap(pieces(F.col("host")), seeds) | seeded("host")
+    cut = hosts.select("host", "n", segment("host").alias("in_host"), bad.alias("bad"))
     cut = stage(cut, "url_segments")
     known = rows.join(cut.select("host", "in_host", F.col("bad").alias("bad_host")), "host")
     known = known.withColumn("in_path", pieces(F.col("path")))
