@@ -259,6 +259,14 @@ def test_url_name_on_many_hosts_is_split(spark):
     assert all((r["verdict"] == "block") == ("pills" in r["host"]) for r in got)
 
 
+def test_url_weights_do_not_depend_on_the_table_that_tasks_hold(spark):
+    urls = [f"http://cheap-pills.example.net/a{'bcdefgh'[i % 7]}/{i}" for i in range(10)] + [f"http://calm.example.net/{'xyz'[i % 3]}/q{'rstu'[i % 4]}" for i in range(40)]
+    df = spark.createDataFrame(list(enumerate([*urls, urls[0], None])), "page_id long, url string")
+    full, few = ({r["page_id"]: r for r in url_filter.judge_urls(df, held=n).collect()} for n in (50_000, 3))
+    assert len(full) == len(few) == 52
+    assert all(abs(full[k]["score"] - few[k]["score"]) < 1e-9 and full[k]["verdict"] == few[k]["verdict"] for k in full)
+
+
 def test_mix_meets_limit_and_budget(spark):
     rng = random.Random(9)
     rows = [(i, " ".join("w" * 3 for _ in range(rng.randrange(0, 40))), "en", rng.choice("aaaaaabbbc") if i % 50 else None, 1, "x", 1) for i in range(3000)]

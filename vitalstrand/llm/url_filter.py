@@ -6,8 +6,8 @@ the seed words. Labels are counted once a registered name, so a concatenated nam
 a piece that stands alone in its host or path is a seed word, or one of its host splits into seed words only, a good one otherwise; every url counts. Rules
 go before the model's verdict.
 
-The word model and the token weights are bounded tables (most frequent ``MODEL_WORDS``), so they can be sent to tasks;
-tokens outside them get the smoothing weight. Hosts are segmented once each, not once per url.
+The most frequent ``MODEL_WORDS`` token weights are sent to tasks and the others joined, so every token has its weight. The word model
+is a bounded table (most frequent ``MODEL_WORDS``). Hosts are segmented once each, not once per url.
 
 Defined cases: a null url or one without ``://`` has empty host and path and is allowed by the model; repeated rows
 are judged each; an empty table gives no rows; other columns are ignored.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from vitalstrand.session import stage
 
-#: Most words of the unigram model and of the weight table.
+#: Most words of the unigram model, and of the weights that tasks hold.
 MODEL_WORDS = 50_000
 #: Longest word of the unigram model.
 LONGEST = 24
@@ -118,14 +118,15 @@ def host_labels(hosts: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Bayes:
-    """Log-odds of a bad url: the prior and one weight for each known token; others have ``unknown``."""
+    """Log-odds of a bad url: the prior, the weights of the most frequent tokens, and the smoothed sums behind all weights."""
 
     prior: float
     weight: dict[str, float]
-    unknown: float = 0.0
+    bad: float = 1.0
+    good: float = 1.0
 
 
-def judge_urls(pages: DataFrame, rules=RULES, size: int = MODEL_WORDS, smoothing: float = 1.0) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, size: int = MODEL_WORDS, smoothing: float = 1.0, held: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's log-odds ``score`` of every row of ``pages`` (page_id, url)."""
     host, path = parts(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -168,15 +169,30 @@ def judge_urls(pages: DataFrame, rules=RULES, size: int = MODEL_WORDS, smoothing
     counts = stage(counts, "url_tokens")
     sums = counts.agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count("*").alias("v")).head()
     urls = known.agg(F.sum(F.when(F.col("bad"), 1).otherwise(0)).alias("a"), F.count("*").alias("n")).head()
-    model = bayes(counts.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(size).collect(), sums, urls, smoothing)
+    held = size if held is None else held
+    model = bayes(counts.orderBy(F.desc(F.col("a") + F.col("b")), "token").limit(held).collect(), sums, urls, smoothing)
+
+    if (sums["v"] or 0) > held and model.weight:
+        known = known.withColumn("row", F.monotonically_increasing_id())
+        known = stage(known, "url_rows")
 
     @F.pandas_udf("double")
     def score(in_host: pd.Series, in_path: pd.Series) -> pd.Series:
         look = model.weight.get
-        return pd.Series([model.prior + sum(look(t, model.unknown) for t in (*h, *p)) for h, p in zip(in_host, in_path, strict=True)], dtype="float64")
+        return pd.Series([model.prior + sum(look(t, 0.0) for t in (*h, *p)) for h, p in zip(in_host, in_path, strict=True)], dtype="float64")
 
     name, verdict = rule(F.col("host"), F.col("path"), rules)
     judged = known.withColumn("score", score("in_host", "in_path"))
+    if "row" in known.columns:
+        # Tokens beyond the table that tasks hold are joined with their counts.
+        @F.pandas_udf("array<string>")
+        def rest(in_host: pd.Series, in_path: pd.Series) -> pd.Series:
+            return pd.Series([[t for t in (*h, *p) if t not in model.weight] for h, p in zip(in_host, in_path, strict=True)])
+
+        weight = F.log((F.col("a") + smoothing) / model.bad) - F.log((F.col("b") + smoothing) / model.good)
+        more = known.select("row", F.explode(rest("in_host", "in_path")).alias("token")).join(counts.select("token", weight.alias("w")), "token")
+        judged = judged.join(more.groupBy("row").agg(F.sum("w").alias("more")), "row", "left")
+        judged = judged.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0)))
     return judged.select(
         "page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score"
     )
@@ -190,4 +206,4 @@ def bayes(rows: list, sums, urls, smoothing: float) -> Bayes:
     base = smoothing * (kinds + 1)
     a, b = (sums["a"] or 0) + base, (sums["b"] or 0) + base
     weight = {r["token"]: math.log((r["a"] + smoothing) / a) - math.log((r["b"] + smoothing) / b) for r in rows}
-    return Bayes(math.log(bad / (total - bad)), weight, math.log(b / a))
+    return Bayes(math.log(bad / (total - bad)), weight, a, b)
