@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalstrand.llm import chat, decontaminate, html_extract, mixing, near_dedup, quality, simhash, token_orc, toxicity, url_filter
+from vitalstrand.llm import chat, decontaminate, fim, html_extract, mixing, near_dedup, packing, quality, simhash, token_orc, toxicity, url_filter
 from vitalstrand.llm.common import table
 from vitalstrand.session import fresh_path
 
@@ -134,3 +134,31 @@ def op10(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     graded = toxicity.grade_toxicity(docs, toxicity.fit_toxicity(docs, labels))
     return graded.select("doc_id", "expected_severity", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
+
+
+@query("op12_linear_packing")
+def op12(spark, sf_dir):
+    return packing.packed_checksums(table(spark, sf_dir, "documents"), tokenizer()[0])
+
+
+OP13_SQL = """
+WITH drawn AS (
+  SELECT doc_id, COALESCE(text, '') AS t, length(COALESCE(text, '')) AS n, sha256('1:' || COALESCE(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+numbers AS (
+  SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS c2,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS d3, CAST('0x' || h[25:32] AS BIGINT) % 100 AS d4 FROM drawn),
+formed AS (
+  SELECT doc_id, t, n, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d3 >= 90 THEN 'plain'
+      WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+cut AS (SELECT *, t[1:a] AS p, t[a + 1:b] AS m, t[b + 1:] AS s FROM formed)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut
+"""
+
+
+@query("op13_fill_in_middle", OP13_SQL)
+def op13(spark, sf_dir):
+    return fim.digests(fim.fill_in_middle(table(spark, sf_dir, "documents")))
