@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalstrand.llm import chat, decontaminate, fim, html_extract, mixing, near_dedup, packing, quality, simhash, token_orc, toxicity, url_filter
+from vitalstrand.llm import chat, decontaminate, fim, html_extract, mixing, near_dedup, packing, prefix_trie, quality, simhash, token_orc, toxicity, url_filter
 from vitalstrand.llm.common import table
 from vitalstrand.session import fresh_path
 
@@ -32,11 +32,11 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def tokenizer() -> tuple[str, str]:
-    """File of the vocabulary and pattern of its splitter."""
+def tokenizer() -> tuple[str]:
+    """Arguments that name the vocabulary: its file."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
+    return (public_tokenizers.path(TOKENIZER),)
 
 
 @query("op1_decontamination")
@@ -136,6 +136,47 @@ def op10(spark, sf_dir):
     return graded.select("doc_id", "expected_severity", "p_toxic", (F.col("p_toxic") >= TOXIC).alias("toxic"))
 
 
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, COALESCE(text, '') AS x, sha256(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, '')) AS e,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(COALESCE(role, '')) || ':' || COALESCE(role, '') || COALESCE(text, ''))) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+steps AS (
+  SELECT c, [4294967295] || flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda ch: [ord(ch), -1, -1, -1, -1, -1, -1, -1, -1])) AS l
+  FROM (SELECT DISTINCT c FROM t)),
+convs AS (
+  SELECT c, c - c % 20 AS b, xor(4294967295, list_reduce(l, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x)
+    ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)) % 4 AS h FROM steps),
+turns AS (
+  SELECT k.c, t.i, t.x, t.e FROM convs k JOIN t ON t.c = k.b AND t.i < k.h
+  UNION ALL SELECT k.c, t.i, t.x, t.e FROM convs k JOIN t ON t.c = k.c AND t.i >= k.h),
+prefixes AS (
+  SELECT c, row_number() OVER w AS d, sha256(array_to_string(list(e) OVER w, '')) AS k, sha256(array_to_string(list(e) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS p,
+    len(list_filter(regexp_split_to_array(x, '[ 	-]+'), lambda y: y <> '')) AS words
+  FROM turns WINDOW w AS (PARTITION BY c ORDER BY i)
+  UNION ALL SELECT c, 0, sha256(''), NULL, 0 FROM convs),
+ended AS (SELECT c, MAX(d) AS d FROM prefixes GROUP BY c),
+nodes AS (
+  SELECT q.d, q.k, CASE WHEN q.d = 1 THEN sha256('') ELSE any_value(q.p) END AS p, MIN(q.c) AS conv_id, COUNT(*) AS n_convs, (COUNT(*) - 1) * MAX(words) AS saved,
+    sha256(COALESCE(string_agg(CASE WHEN e.d = q.d THEN CAST(q.c AS VARCHAR) END, ',' ORDER BY q.c), '')) AS ends_sha256
+  FROM prefixes q JOIN ended e ON e.c = q.c GROUP BY q.d, q.k),
+family AS (SELECT n.*, m.conv_id AS parent_conv_id, (SELECT COUNT(*) FROM nodes z WHERE z.d = n.d + 1 AND z.p = n.k) AS n_children
+  FROM nodes n LEFT JOIN nodes m ON m.d = n.d - 1 AND m.k = n.p),
+below AS (
+  SELECT a.d, a.k, SUM(f.saved) AS saved_tokens, SUM(CASE WHEN f.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves
+  FROM family f JOIN prefixes own ON own.c = f.conv_id AND own.d <= f.d JOIN nodes a ON a.d = own.d AND a.k = own.k
+  GROUP BY a.d, a.k)
+SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, f.parent_conv_id, CAST(f.n_convs AS BIGINT) AS n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM family f JOIN below b ON b.d = f.d AND b.k = f.k
+"""
+
+
+@query("op11_prefix_trie", OP11_SQL)
+def op11(spark, sf_dir):
+    return prefix_trie.prefix_trie(*prefix_trie.continue_from_base(prefix_trie.number_turns(table(spark, sf_dir, "conversations"))))
+
+
 @query("op12_linear_packing")
 def op12(spark, sf_dir):
     return packing.packed_checksums(table(spark, sf_dir, "documents"), tokenizer()[0])

@@ -11,33 +11,21 @@ by their text; an empty table gives an empty folder that reads as no rows; other
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-END_ID = 0
-#: Characters of one generation of a worker's memo of pieces; bounds memory, not the result.
-MEMO_CHARS = 2_500_000
-#: Units whose ids a worker remembers before it starts over.
-MEMO_UNITS = 600_000
-#: A longer piece is encoded but not remembered.
-PIECE_CHARS = 64
-#: Texts encoded together.
-GROUP = 256
-#: Units that are joined into one text for the library.
-JOINED = 128
+from vitalstrand.llm.encoding import encoder_of, groups
 
+END_ID = 0
 FILE_SCHEMA = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -57,127 +45,27 @@ ORC_OPTIONS = {
 }
 
 
-class Encoder:
-    """Ids of whole texts, equal to the library's, with what lies between single spaces remembered.
-
-    The vocabulary's splitter starts a new unit at a space that is followed by a word, so a text is the
-    concatenation of its first piece and of the others with their leading space; and a piece is that of the units
-    which the splitter's pattern finds in it. Units are what the library encodes. Splitting at spaces fails where a space
-    has white space on both sides, and special tokens may hold any character; such texts go to the library whole.
-    """
-
-    def __init__(self, path: str, pattern: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r"\s \s", *map(re.escape, special)])).search
-        self.units = regex.compile(pattern).findall
-        # A byte-level token is spelt with one character for each byte.
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
-        for token, i in vocabulary.items():
-            self.token_bytes[i] = len(token)
-        self.pieces: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.held = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        batch = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in batch]
-
-    def joined(self, units: list[str]) -> list[bytes]:
-        """Ids of units that are a space and letters or digits: such units stay apart in a joined text.
-
-        A text is cut where the bytes of its tokens reach the end of a unit; if they don't, its units are encoded one by one.
-        """
-        groups = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
-        out = []
-        for group, e in zip(groups, self.library.encode_batch_fast(list(map("".join, groups)), add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(self.token_bytes[ids])
-            units_end = np.cumsum([len(u.encode()) for u in group])
-            cuts = np.searchsorted(ends, units_end)
-            if ends[-1] != units_end[-1] or (ends[cuts] != units_end).any() or self.whole("".join(group)):
-                out += self.encode(group)
-                continue
-            raw, at = ids.tobytes(), 0
-            for cut in ((cuts + 1) * 4).tolist():
-                out.append(raw[at:cut])
-                at = cut
-        return out
-
-    def split(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts by their units; every unit that isn't known is encoded once."""
-        parts = [self.units(t) for t in texts]
-        if len(self.known) > MEMO_UNITS:
-            self.known.clear()
-        # A difference with the memo's keys would walk through the whole memo.
-        new = [u for u in set(chain.from_iterable(parts)) if u not in self.known]
-        plain = [u for u in new if u[0] == " " and u[1:].isalnum()]
-        self.known.update(zip(plain, self.joined(plain), strict=True))
-        rest = [u for u in new if u not in self.known]
-        self.known.update(zip(rest, self.encode(rest), strict=True))
-        return [b"".join(map(self.known.__getitem__, p)) for p in parts]
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        pieces, odd = [], []
-        for i, text in enumerate(texts):
-            if self.whole(text):
-                odd.append(i)
-                pieces.append([""])
-            else:
-                pieces.append(text.split(" "))
-        if self.held > MEMO_CHARS:
-            self.before, self.pieces, self.held = self.pieces, {}, 0
-        heads = [p[0] for p in pieces]
-        new = [x for x in set(chain.from_iterable(p[1:] for p in pieces)) if x not in self.pieces]
-        unseen = [x for x in new if x not in self.before]
-        found = {x: self.before[x] for x in new if x in self.before}
-        found.update(zip(unseen, self.split([" " + x for x in unseen]), strict=True))
-        look = self.pieces
-        look.update(found)
-        self.held += sum(map(len, found))
-        starts = self.split(heads)
-        out = [h + b"".join(map(look.__getitem__, p[1:])) for h, p in zip(starts, pieces, strict=True)]
-        for x in [x for x in found if len(x) > PIECE_CHARS]:
-            del look[x]
-        for i, ids in zip(odd, self.encode([texts[i] for i in odd]) if odd else [], strict=True):
-            out[i] = ids
-        return out
-
-
-@lru_cache(maxsize=1)
-def encoder_of(path: str, pattern: str) -> Encoder:
-    """The encoder of a worker process, which its tasks share one after the other; what it remembers never changes ids."""
-    return Encoder(path, pattern)
-
-
-def tokenise(path: str, pattern: str, end_id: int = END_ID):
+def tokenise(path: str, end_id: int = END_ID):
     """Batches of (doc_id, text) to the file's rows, in the order they come."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("shard", pa.int32()), ("shard_start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at, shard = encoder_of(path, pattern), 0, TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
+        encoder, at, shard = encoder_of(path), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, GROUP):
-                part = batch.slice(lo, GROUP)
-                ids = [x + end for x in encoder.of([t or "" for t in part.column(1).to_pylist()])]
-                n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            texts = batch.column(1).fill_null("")
+            for lo, hi in groups(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
+                ids, n = encoder.of(texts.slice(lo, hi - lo).to_pylist())
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                n = n + 1
                 offsets = np.concatenate([[0], np.cumsum(n)])
-                values = np.frombuffer(b"".join(ids), dtype="<i4")
                 columns = [
-                    part.column(0),
-                    pa.array(np.full(len(ids), shard, dtype=np.int32)),
+                    batch.column(0).slice(lo, hi - lo),
+                    pa.array(np.full(hi - lo, shard, dtype=np.int32)),
                     pa.array(at + offsets[:-1]),
                     pa.array(n),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values)),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
                 ]
                 at += int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
@@ -185,14 +73,14 @@ def tokenise(path: str, pattern: str, end_id: int = END_ID):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int = END_ID) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Write the ids of ``docs`` (doc_id, text) below ``path`` in ascending ``doc_id`` order.
 
-    ``tokenizer`` is the vocabulary file and ``pattern`` the splitter's pattern. One shuffle, by range of ``doc_id``; a task keeps a group of texts and the piece memo.
+    ``tokenizer`` is the vocabulary file. One shuffle, by range of ``doc_id``; a worker keeps a group of texts and the piece memo.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(tokenise(tokenizer, pattern, end_id), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    ranged.mapInArrow(tokenise(tokenizer, end_id), FILE_SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
