@@ -19,6 +19,7 @@ out; an empty table has no conversations and so no root; other columns are ignor
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from vitalstrand.operators.joins import split_join
 from vitalstrand.session import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Children of a parent that are linked in one task, on average, and arcs summed in one block.
+#: Arcs summed in one block.
 BLOCK = 100_000
 #: Arcs that one task ranks; longer lists are contracted first.
 SHORT_LIST = 1 << 15
@@ -218,7 +219,8 @@ def tour(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The enter arc of a node is twice its id, the exit arc one more; the root's exit has no successor. Siblings are ordered by bucket and conv_id.
     """
-    buckets = 1 + nodes.count() // BLOCK
+    # As many buckets as a bucket of the largest family has children: neither level holds more than the root of the nodes.
+    buckets = 1 + math.isqrt(nodes.count())
     below = nodes.where("parent IS NOT NULL").select("nid", "conv_id", "parent", F.pmod(F.xxhash64("nid"), F.lit(buckets)).alias("bucket"))
     heads = below.groupBy("parent", "bucket").agg(F.min_by("nid", "conv_id").alias("head"), F.count(F.lit(1)).alias("n"))
     # One row for each bucket of a parent, whatever its children.
