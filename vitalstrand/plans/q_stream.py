@@ -9,10 +9,10 @@ from vitalstrand.operators import scoring as sc
 from vitalstrand.operators import signals as sg
 from vitalstrand.operators import tokens as tk
 from vitalstrand.operators import windows as wi
-from vitalstrand.plans.oracle import cols, compose
+from vitalstrand.plans.oracle import KINDS, cols, compose
 from vitalstrand.plans.q_scoring import BIAS, TREND_SQL, risks, token_weights
 from vitalstrand.plans.registry import dense, query
-from vitalstrand.session import fresh_path, write_stage
+from vitalstrand.session import fresh_path, stage
 from vitalstrand.sources import bindings as b
 from vitalstrand.streaming import jobs
 
@@ -41,14 +41,14 @@ def steps_stream(events):
 @query("stream_hr_5min", compose(D, f"SELECT {cols('person_id:i ts:t v:f')} FROM hr_bin"))
 def stream_hr_5min(spark, sf_dir):
     home = fresh_path(spark, "stream-hr")
-    jobs.land(jobs.hr_bins_stream(hr_stream(events_stream(spark, sf_dir))), home)
+    jobs.land(jobs.hr_bins_stream(hr_stream(events_stream(spark, sf_dir))), home, keys=["person_id", "ts"])
     return jobs.current(spark, home, ["person_id", "ts"])
 
 
 @query("stream_daily_steps", compose(D, f"SELECT {cols('person_id:i day:d v:f')} FROM steps_day"))
 def stream_daily_steps(spark, sf_dir):
     home = fresh_path(spark, "stream-steps")
-    jobs.land(jobs.steps_daily_stream(steps_stream(events_stream(spark, sf_dir))), home)
+    jobs.land(jobs.steps_daily_stream(steps_stream(events_stream(spark, sf_dir))), home, keys=["person_id", "day"])
     return jobs.current(spark, home, ["person_id", "day"]).select("person_id", "day", "v")
 
 
@@ -65,7 +65,7 @@ def stream_tokens(spark, sf_dir):
     }
     for name, (stream, keys) in binned.items():
         home = fresh_path(spark, f"stream-{name.lower()}")
-        jobs.land(stream.withColumn("stream", F.lit(name)), home, each=lambda batch, _: sg.encode_deciles(batch, s.cuts))
+        jobs.land(stream.withColumn("stream", F.lit(name)), home, each=lambda batch, _: sg.encode_deciles(batch, s.cuts), keys=keys)
         parts.append(tk.wearable_tokens(jobs.current(spark, home, keys)))
     t = b.event_tables(spark, sf_dir, events)
     coded = [
@@ -131,12 +131,59 @@ def daily_refresh(spark, sf_dir):
     return jobs.current(spark, home, ["person_id"]).select("person_id", "end_date", "logit", "prob")
 
 
+def shuffled_files(df, key, n, label):
+    """The rows of ``df`` in ``n`` folders by hash, so that a stream reading them one by one meets every age in every batch."""
+    home = fresh_path(df.sparkSession, label)
+    for i in range(n):
+        df.where(F.pmod(F.xxhash64(*key), F.lit(n)) == i).coalesce(1).write.mode("append").parquet(home)
+    return home
+
+
+RECONCILED = (
+    f"SELECT {cols('person_id:i')}, 'HR' AS stream, {cols('ts:t v:f')} FROM hr_bin UNION ALL "
+    f"SELECT {cols('person_id:i')}, 'STEPS' AS stream, {KINDS['t'].format('CAST(day AS TIMESTAMP) + INTERVAL 12 HOUR')} AS ts, {cols('v:f')} FROM steps_day"
+)
+
+
+@query("stream_reconciled", compose(D, RECONCILED))
+def stream_reconciled(spark, sf_dir):
+    """Bins and daily totals of readings that come in hash order, most of them behind any watermark, a part of them twice."""
+    events = spark.read.schema(b.EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    again = events.where(F.pmod(F.xxhash64("event_id"), F.lit(10)) == 0)
+    source = shuffled_files(events, ["event_id", "user_id"], 3, "readings")
+    again.coalesce(1).write.mode("append").parquet(source)
+    schema = b.EVENT_SCHEMA.replace("TIMESTAMP_NTZ", "TIMESTAMP").replace("timestamp_ntz", "timestamp")
+    parts = []
+    for name, pick, bins in (("HR", hr_stream, hr_rebuilt), ("STEPS", steps_stream, steps_rebuilt)):
+        home = fresh_path(spark, f"reconcile-{name.lower()}")
+        stream = jobs.read_stream(spark, source, schema, files_per_batch=1)
+        jobs.reconcile(pick(stream), home, bins, ["person_id", "ts"])
+        parts.append(jobs.current(spark, home, ["person_id", "ts"]).select("person_id", F.lit(name).alias("stream"), "ts", "v"))
+    return parts[0].unionByName(parts[1])
+
+
+def hr_rebuilt(readings):
+    return sg.hr_bins(sg.hr_bin_sums(readings.dropDuplicates(["event_id"])))
+
+
+def steps_rebuilt(readings):
+    return sg.steps_daily(readings.dropDuplicates(["event_id"])).select("person_id", "ts", "v")
+
+
 @query("stream_trend", compose(D, TREND_SQL))
 def stream_trend(spark, sf_dir):
-    """Trend carried as keyed state over a stream of scored windows."""
+    """Trend carried as keyed state over a stream of scored windows that come out of order."""
     scored = risks(spark, sf_dir).select("person_id", "end_date", "prob")
-    source = write_stage(scored, "stream-risks")
-    stream = jobs.read_stream(spark, source, "person_id BIGINT, end_date DATE, prob DOUBLE")
+    source = shuffled_files(stage(scored, "scored"), ["person_id", "end_date"], 2, "stream-risks")
+    stream = jobs.read_stream(spark, source, "person_id BIGINT, end_date DATE, prob DOUBLE", files_per_batch=1)
     home = fresh_path(spark, "stream-trend")
-    jobs.land(jobs.risk_trend_stream(stream), home, "append")
-    return jobs.landed(spark, home).drop("batch")
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        jobs.land(jobs.risk_trend_stream(stream), home, keys=["person_id", "end_date"])
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return jobs.current(spark, home, ["person_id", "end_date"])

@@ -1,8 +1,8 @@
 """Streaming twins of the binning, tokenising and refresh jobs.
 
-Aggregates run in update mode and land each micro-batch in its own folder, so a retried batch overwrites
-itself; the current view is the last landed row per key. Rows later than the watermark are left to the
-batch jobs, which are the correction path.
+Aggregates run in update mode and land each micro-batch as one version of a keyed table, so a retried batch changes
+nothing; the current view is the newest row per key. The watermarked jobs leave later rows out; ``reconcile`` takes
+rows of any age and ends equal to the batch jobs.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from vitalstrand.functions.scalars import noon
 from vitalstrand.operators.signals import mean_value, total_value
+from vitalstrand.streaming.tables import LatestTable, ReadingLog
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: str, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -27,12 +30,25 @@ def read_stream(spark: SparkSession, folder: str, schema: str, pattern: str | No
     return reader.parquet(folder)
 
 
-def land(stream: DataFrame, folder: str, mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
-    """Run all available input through ``stream`` into ``folder``; a restart resumes from its checkpoint."""
+def land(
+    stream: DataFrame,
+    folder: str,
+    mode: str = "update",
+    each: Callable[[DataFrame, int], DataFrame] | None = None,
+    keys: Sequence[str] | None = None,
+) -> None:
+    """Run all available input through ``stream`` into ``folder``; a restart resumes from its checkpoint.
+
+    With ``keys`` the rows are upserts of a keyed table, else every batch is a folder of its own.
+    """
+    table = LatestTable(stream.sparkSession, folder, keys) if keys else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = each(batch, batch_id) if each else batch
-        out.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+        if table:
+            table.upsert(out, batch_id)
+        else:
+            out.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -45,17 +61,37 @@ def land(stream: DataFrame, folder: str, mode: str = "update", each: Callable[[D
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all batches that were landed without keys."""
     return spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
 
 
 def current(spark: SparkSession, folder: str, keys: Sequence[str]) -> DataFrame:
-    """Newest landed row per key."""
+    """Newest row per key: of the keyed table where there is one, else of all landed batches."""
+    table = LatestTable(spark, folder, keys)
+    if table.exists():
+        return table.current()
     rows = landed(spark, folder)
     rest = [c for c in rows.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*rest), "batch").alias("_r")
     return rows.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 
+def reconcile(
+    stream: DataFrame, folder: str, rebuild: Callable[[DataFrame], DataFrame], keys: Sequence[str], ts: str = "datetime", person: str = "person_id"
+) -> None:
+    """Keep the keyed table of ``rebuild`` right under readings of any age, order and repetition.
+
+    A batch joins the log of readings, and the person-days it touches are rebuilt from all their readings and upserted.
+    ``rebuild`` maps readings, repeats included, to rows whose key decides person and day.
+    """
+    log = ReadingLog(stream.sparkSession, folder, ts, person)
+
+    def each(batch: DataFrame, batch_id: int) -> DataFrame:
+        return rebuild(log.of_days(log.append(batch, batch_id), batch_id))
+
+    land(stream, folder, "append", each, keys)
+
+
 def once(stream: DataFrame, id_col: str, ts: str, delay: str) -> DataFrame:
     """Drop repeats of the same reading that arrive within the watermark."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([id_col])
@@ -92,55 +128,70 @@ def refresh(
     person: str = "person_id",
     ts: str = "ts",
 ) -> None:
-    """Rescore the persons each micro-batch touches and land their newest report.
+    """Rescore the persons each micro-batch touches and keep their newest report.
 
-    The batch joins the history first (idempotently, by batch id). ``report_for`` receives the history of
-    the touched persons up to and including this batch, from ``reach_days`` before its earliest row on;
-    the history is laid out by day so that older days are not read.
+    The batch joins the history first (idempotently, by batch id). ``report_for`` receives the history of the touched
+    persons up to and including this batch, each from ``reach_days`` before the person's own earliest fresh row on.
     """
+    log = ReadingLog(stream.sparkSession, folder, ts, person)
 
     def each(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        home = f"{folder}/history"
-        batch.withColumn("day", F.to_date(ts)).write.mode("overwrite").partitionBy("day").parquet(f"{home}/batch={batch_id}")
-        fresh = spark.read.parquet(f"{home}/batch={batch_id}")
-        since = fresh.agg(F.date_sub(F.min("day"), reach_days)).first()[0]
-        touched = fresh.select(person).distinct()
-        history = (
-            spark.read.option("basePath", home)
-            .parquet(home)
-            .where((F.col("batch") <= batch_id) & (F.col("day") >= F.lit(since)))
-            .drop("batch", "day")
-        )
-        return report_for(history.join(touched, person, "left_semi"), touched)
-
-    land(stream, folder, "append", each)
+        fresh = log.append(batch, batch_id)
+        return report_for(log.since(fresh, reach_days, batch_id), fresh.select(person).distinct())
 
+    land(stream, folder, "append", each, [person])
 
-TREND_SCHEMA = "person_id BIGINT, end_date DATE, prob DOUBLE, trend_delta DOUBLE"
 
-
-def _trend_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, prior = state.get if state.exists else (None, None)
-    rows = pd.concat(list(frames)).sort_values("end_date")
-    # A window behind the last one has no known predecessor here: null, for the batch path to fill.
-    late = rows["end_date"] <= last if last is not None else pd.Series(False, index=rows.index)
-    fresh = rows[~late]
-    before = fresh["prob"].shift(1)
-    if len(fresh):
-        before.iloc[0] = fresh["prob"].iloc[0] if prior is None else prior
-        state.update((fresh["end_date"].iloc[-1], float(fresh["prob"].iloc[-1])))
-    rows["trend_delta"] = (fresh["prob"] - before).reindex(rows.index)
-    yield rows[["person_id", "end_date", "prob", "trend_delta"]]
+TREND_SCHEMA = "person_id BIGINT, end_date DATE, prob DOUBLE, trend_delta DOUBLE"
+EPOCH = pd.Timestamp("1970-01-01")
 
 
-def risk_trend_stream(risks: DataFrame) -> DataFrame:
-    """Change against the person's previous risk, carried across micro-batches as keyed state (last window, its risk).
+class TrendState(StatefulProcessor):
+    """Risks of a person's windows by day, as map state.
 
-    A window that arrives after a later one leaves the state alone and has a null ``trend_delta``.
+    A window is placed among the known ones whenever it comes; its delta and its successor's are emitted. When the
+    watermark has passed a window none can come before it, and the windows before it are forgotten.
+    """
 
-    A person adds at most one row per calendar day, which bounds what one group holds.
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.risks = handle.getMapState("risks", "day INT", "prob DOUBLE")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, float] = {}
+        for frame in rows:
+            days = (pd.to_datetime(frame["end_date"]) - EPOCH).dt.days
+            fresh.update(zip(days.tolist(), frame["prob"].tolist(), strict=True))
+        known = {k[0]: v[0] for k, v in self.risks.iterator()}
+        for day, prob in fresh.items():
+            self.risks.updateValue((day,), (prob,))
+            if day not in known:
+                self.handle.registerTimer(day * 86_400_000)
+        known.update(fresh)
+        days = sorted(known)
+        out = []
+        for i, day in enumerate(days):
+            before = days[i - 1] if i else None
+            if day in fresh or before in fresh:
+                delta = known[day] - known[before] if i else 0.0
+                out.append((key[0], (EPOCH + pd.Timedelta(days=day)).date(), known[day], delta))
+        yield pd.DataFrame(out, columns=["person_id", "end_date", "prob", "trend_delta"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() // 86_400_000
+        for day in [k[0] for k in self.risks.keys() if k[0] < passed]:
+            self.risks.removeKey((day,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def risk_trend_stream(risks: DataFrame, delay: str = "400 days") -> DataFrame:
+    """Change against the person's previous risk as rows (person_id, end_date) to upsert.
+
+    Needs the RocksDB state store (``ROCKSDB`` as ``spark.sql.streaming.stateStore.providerClass``). Windows may come in
+    any order within ``delay`` of the newest one; a person's state is the windows of that time and the one before.
     """
-    return risks.groupBy("person_id").applyInPandasWithState(
-        _trend_step, TREND_SCHEMA, "end_date DATE, prob DOUBLE", "append", GroupStateTimeout.NoTimeout
-    )
+    stamped = risks.withColumn("end_ts", F.col("end_date").cast("timestamp")).withWatermark("end_ts", delay)
+    return stamped.groupBy("person_id").transformWithStateInPandas(TrendState(), TREND_SCHEMA, "Update", "EventTime")
