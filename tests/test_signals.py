@@ -81,3 +81,12 @@ def test_lab_deciles_per_item(spark):
     for r in tk.lab_deciles(df, tk.lab_cuts(df)).collect():
         assert r.dec == min(9, (r.person_id + 1) * 10 // 100)
         assert r.token == f"LAB:{r.item}_D{r.dec}"
+
+
+def test_rolling_std_keeps_digits_of_large_values(spark):
+    rng, start = np.random.default_rng(4), dt.datetime(2020, 1, 1)
+    rows = [(1, start + dt.timedelta(seconds=7 * i), 1e9 + float(d)) for i, d in enumerate(rng.normal(0, 1, 2000))]
+    got = {r.datetime: r.std for r in sg.rolling_std(spark.createDataFrame(rows, HR), 5).collect()}
+    for i in range(1, 2000, 37):
+        near = [v for _, t, v in rows[: i + 1] if t >= rows[i][1] - dt.timedelta(minutes=5)]
+        assert got[rows[i][1]] == pytest.approx(np.std(near, ddof=1), abs=1e-6)

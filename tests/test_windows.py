@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitalstrand.functions.arrays import positions_from_separators
+from vitalstrand.operators import scoring as sc
 from vitalstrand.operators import windows as wi
 
 W, L, MAX = 5, 4, 40
@@ -168,3 +169,21 @@ def test_trailing_window_edges(spark):
 def test_id_range(spark):
     df = spark.createDataFrame([(1, [1, 7]), (2, [9]), (3, [])], "person_id INT, input_ids ARRAY<INT>")
     assert [r.person_id for r in wi.id_range_violations(df, 8).collect()] == [2]
+
+
+@pytest.mark.parametrize("max_len", [10_000, 12])
+def test_span_scores_equal_sequence_scores(spark, data, max_len):
+    _, cal, runs, _ = data
+    ids = runs.select("tid").distinct()
+    weights = ids.union(spark.createDataFrame([(1,), (2,), (3,)], "tid INT")).distinct()
+    weights = weights.withColumn("weight", F.sin(F.col("tid").cast("double"))).where("tid % 5 <> 4")
+    seqs = wi.window_sequences(wi.day_packs(runs, 10_000), cal, W, 10_000)
+    want = {(r.person_id, r.end_date): r.logit for r in sc.score_windows(seqs, weights, -0.5).collect()}
+    spans = sc.score_spans(runs, cal, weights, -0.5, W)
+    got = {(r.person_id, r.end_date): (r.n_tokens, r.logit) for r in spans.collect()}
+    assert {k: v for k, (_, v) in got.items()} == pytest.approx(want, abs=1e-8)
+    assert {k: n for k, (n, _) in got.items()} == {(r.person_id, r.end_date): r.n_tokens for r in seqs.collect()}
+    cut = spans.where(F.col("n_tokens") > max_len).select("person_id", "end_date")
+    built = wi.window_sequences(wi.day_packs(runs, max_len), cal, W, max_len, only=cut)
+    assert built.count() == sum(n > max_len for n, _ in got.values())
+    assert "input_ids" not in spans._jdf.queryExecution().toString()

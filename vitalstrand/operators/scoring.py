@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitalstrand.config import ID_SPACE, PAD
+from vitalstrand.config import BOS, DAY_SEP, EOS, ID_SPACE, PAD
+from vitalstrand.operators.windows import end_date
 from vitalstrand.session import stage
 
 KEYS = ("person_id", "end_date", "split")
@@ -41,6 +42,45 @@ def score_windows(sequences: DataFrame, weights: DataFrame, bias: float, keep: t
     )
 
 
+def score_spans(tokens: DataFrame, calendar: DataFrame, weights: DataFrame, bias: float, window_days: int) -> DataFrame:
+    """Scores of whole windows from sums per person-day: (person_id, end_date, split, n_tokens, logit).
+
+    Every token is weighed once. Sums run along a person's days, and a window's sum is the difference of the running
+    sums at its two edges, so overlap costs two rows for a window instead of its tokens. Weights are taken to 12 decimal
+    places, which keeps the differences exact. ``n_tokens`` is the length with marks before any cut; a window that is
+    cut must be scored by its sequence. A person has one row per day and two per window, which bounds a partition.
+    """
+    exact = F.coalesce("weight", F.lit(0.0)).cast("decimal(24,12)") * F.col("n").cast("decimal(10,0)")
+    days = (
+        tokens.join(weights, "tid", "left")
+        .groupBy("person_id", F.to_date("ts").alias("day"))
+        .agg(F.sum("n").alias("n"), F.sum(exact).cast("decimal(38,12)").alias("w"))
+        .withColumns({"days": F.lit(1).cast("long"), "edge": F.lit(0), "k": F.lit(None).cast("int")})
+    )
+    ends = calendar.select("person_id", "first_end", "stride", F.explode(F.sequence(F.lit(0), F.col("last_k"))).alias("k"))
+    last = end_date()
+    edges = ends.select("person_id", "k", F.explode(F.array(
+        F.struct(last.alias("day"), F.lit(1).alias("edge")),
+        F.struct(F.date_sub(last, window_days + 1).alias("day"), F.lit(-1).alias("edge")),
+    )).alias("e")).select(
+        "person_id", "e.day", F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(38,12)").alias("w"),
+        F.lit(0).cast("long").alias("days"), "e.edge", "k",
+    )
+    # a day's own row comes before the edges on that day
+    upto = Window.partitionBy("person_id").orderBy("day", F.abs("edge")).rowsBetween(Window.unboundedPreceding, 0)
+    run = days.unionByName(edges).select("person_id", "k", "edge", *[F.sum(c).over(upto).alias(c) for c in ("n", "w", "days")])
+    signed = lambda c: F.sum(F.col(c) * F.col("edge")).alias(c)
+    spans = run.where("edge <> 0").groupBy("person_id", "k").agg(signed("n"), signed("w"), signed("days")).where("n > 0")
+    marks = weights.agg(
+        *[F.coalesce(F.sum(F.when(F.col("tid").isin(ids), F.col("weight"))), F.lit(0.0)).alias(name) for name, ids in (("outer", [BOS, EOS]), ("between", [DAY_SEP]))]
+    )
+    length = F.col("n") + F.col("days") + 1
+    total = F.col("w").cast("double") + F.col("outer") + (F.col("days") - 1) * F.col("between")
+    # the sums of the marks' weights are one row
+    scored = spans.join(calendar, "person_id").join(F.broadcast(marks))
+    return scored.select("person_id", end_date().alias("end_date"), "split", length.alias("n_tokens"), F.round(F.lit(bias) + total / length, 9).alias("logit"))
+
+
 def contributions(sequences: DataFrame, weights: DataFrame) -> DataFrame:
     """Share of each token in a window's logit: count * weight / length."""
     size = F.size(F.filter("input_ids", lambda t: t != PAD)).cast("long")

@@ -127,39 +127,54 @@ def self_deciles(values: DataFrame, by: list[str], value: str = "v") -> DataFram
 # --- variability proxy -----------------------------------------------------------------------------
 
 
+MOMENTS = "struct<n: bigint, mean: double, m2: double>"
+
+
+def _merged(a: str, b: str) -> tuple[Column, Column, Column]:
+    """Count, mean and sum of squared deviations of two groups together; a missing group counts as empty."""
+    na, nb = (F.coalesce(F.col(f"{x}.n"), F.lit(0)) for x in (a, b))
+    ma, mb = (F.coalesce(F.col(f"{x}.mean"), F.lit(0.0)) for x in (a, b))
+    qa, qb = (F.coalesce(F.col(f"{x}.m2"), F.lit(0.0)) for x in (a, b))
+    n = na + nb
+    mean = F.when(n > 0, ma + (mb - ma) * nb / n)
+    return n, mean, F.when(n > 0, qa + qb + (mb - ma) * (mb - ma) * na * nb / n)
+
+
 def rolling_std(hr: DataFrame, minutes: int) -> DataFrame:
-    """Trailing standard deviation at each reading time: (person_id, datetime, n, std).
+    """Trailing standard deviation at each reading: (person_id, datetime, n, std), ``n`` readings in the period.
 
-    Readings at the same instant are pooled first. Each instant is then placed in its own time block and,
-    when its influence reaches over the edge, in the next one, so a window never spans more than a block
-    of one person however long that person's record is.
+    Time is cut into blocks as long as the period, so a period is the end of one block and the beginning of the next.
+    Centred moments (count, mean, squared deviations) run forward and backward inside a block and the two are merged
+    pairwise, so nothing large is subtracted and a reading costs the same however long the period is. No task needs
+    more than two blocks of a person.
     """
     reach = minutes * 60 * 1_000_000
-    block = max(86_400_000_000, reach)
-    v = F.col("heart_rate_value")
-    points = (
-        hr.where(v.isNotNull())
-        .groupBy("person_id", "datetime")
-        .agg(F.count(v).alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"))
-        .withColumn("us", F.unix_micros("datetime"))
-        .withColumn("own", F.floor(F.col("us") / F.lit(block)))
+    v = F.col("heart_rate_value").cast("double")
+    points = hr.where(v.isNotNull()).select("person_id", "datetime", v.alias("v"), F.unix_micros("datetime").alias("us"))
+    points = points.withColumn("block", F.floor(F.col("us") / F.lit(reach)))
+
+    def moments(order: Column) -> Column:
+        run = Window.partitionBy("person_id", "block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+        n = F.count("v").over(run)
+        return F.struct(n.alias("n"), F.avg("v").over(run).alias("mean"), (F.var_pop("v").over(run) * n).alias("m2"))
+
+    both = points.select(
+        "person_id", "datetime", "us", "block", moments(F.col("us").asc()).alias("since"), moments(F.col("us").desc()).alias("until")
     )
-    reached = F.floor((F.col("us") + F.lit(reach)) / F.lit(block))
-    copies = points.withColumn("block", F.explode(F.sequence(F.col("own"), reached)))
-    near = Window.partitionBy("person_id", "block").orderBy("us").rangeBetween(-reach, 0)
-    rolled = copies.select(
+    # what follows a reading in its block leaves the periods after this reading's time plus the length of a period
+    leaving = both.select(
         "person_id",
-        "datetime",
-        "n",
-        "own",
-        "block",
-        F.sum("n").over(near).alias("wn"),
-        F.sum("s").over(near).alias("ws"),
-        F.sum("q").over(near).alias("wq"),
-    ).where(F.col("own") == F.col("block"))
-    var = (F.col("wq") - F.col("ws") * F.col("ws") / F.col("wn")) / (F.col("wn") - 1)
-    std = F.when(F.col("wn") > 1, F.sqrt(F.greatest(var, F.lit(0.0))))
-    return rolled.select("person_id", "datetime", "n", std.alias("std"))
+        F.lit(None).cast("timestamp").alias("datetime"),
+        (F.col("us") + reach).alias("us"),
+        (F.col("block") + 1).alias("block"),
+        F.lit(None).cast(MOMENTS).alias("since"),
+        "until",
+    )
+    own = both.withColumn("datetime", F.col("datetime").cast("timestamp")).withColumn("until", F.lit(None).cast(MOMENTS))
+    ahead = Window.partitionBy("person_id", "block").orderBy(F.col("us").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    met = own.unionByName(leaving).withColumn("still", F.last("until", ignorenulls=True).over(ahead)).where(F.col("since").isNotNull())
+    n, _, m2 = _merged("still", "since")
+    return met.select("person_id", "datetime", n.alias("n"), F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"))
 
 
 def hrv_daily(hr: DataFrame, minutes: int) -> DataFrame:
@@ -167,7 +182,7 @@ def hrv_daily(hr: DataFrame, minutes: int) -> DataFrame:
     rolled = rolling_std(hr, minutes).where(F.col("std").isNotNull())
     return (
         rolled.groupBy("person_id", F.to_date("datetime").alias("day"))
-        .agg(F.round(F.sum(F.col("std") * F.col("n")) / F.sum("n"), 6).alias("v"))
+        .agg(F.round(F.avg("std"), 6).alias("v"))
         .withColumn("ts", noon("day"))
     )
 

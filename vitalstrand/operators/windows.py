@@ -149,9 +149,16 @@ def window_sequences(
     window_days: int,
     max_len: int,
     calendar_positions: bool = False,
+    only: DataFrame | None = None,
 ) -> DataFrame:
-    """Token and position arrays per window: begin mark, days joined by separators, end mark, tail kept."""
-    copies = in_windows(packs, calendar, window_days).repartition(*KEYS)
+    """Token and position arrays per window: begin mark, days joined by separators, end mark, tail kept.
+
+    ``only`` (person_id, end_date) restricts the windows that are built.
+    """
+    copies = in_windows(packs, calendar, window_days)
+    if only is not None:
+        copies = copies.join(only, list(KEYS), "left_semi")
+    copies = copies.repartition(*KEYS)
     gathered = copies.groupBy(*KEYS, "split").agg(
         F.sort_array(F.collect_list(F.struct("day", "ids"))).alias("days")
     )

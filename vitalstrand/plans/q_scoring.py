@@ -31,7 +31,7 @@ def token_weights(spark):
 
 
 def scored_windows(spark, sf_dir):
-    return sc.score_windows(dense(spark, sf_dir).windows(), token_weights(spark), BIAS, ("label",))
+    return dense(spark, sf_dir).scored(token_weights(spark), BIAS)
 
 
 def risks(spark, sf_dir):

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitalstrand.config import CARDIAC_LOINC, StudyParams
 from vitalstrand.operators import cohort as co
+from vitalstrand.operators import scoring as sc
 from vitalstrand.operators import signals as sg
 from vitalstrand.operators import tokens as tk
 from vitalstrand.operators import vocab as vo
@@ -248,6 +249,18 @@ class Study:
         """Labelled sequences: (person_id, end_date, split, input_ids, positions, n_tokens, label)."""
         return wi.with_labels(self.sequences(), self.positives())
 
+    def scored(self, weights: DataFrame, bias: float) -> DataFrame:
+        """Labelled scores (person_id, end_date, split, label, logit); only windows that are cut are built as sequences."""
+        p, tokens = self.params, stage(self.tokens(), "tokens")
+        spans = stage(sc.score_spans(tokens, self.calendar(), weights, bias, p.window_days), "spans")
+        whole = spans.where(F.col("n_tokens") <= p.max_len).drop("n_tokens")
+        cut = spans.where(F.col("n_tokens") > p.max_len).select(*wi.KEYS)
+        if not cut.isEmpty():
+            packs = wi.day_packs(tokens.join(cut.select("person_id").distinct(), "person_id", "left_semi"), p.max_len)
+            built = wi.window_sequences(packs, self.calendar(), p.window_days, p.max_len, p.calendar_positions, cut)
+            whole = whole.unionByName(sc.score_windows(built, weights, bias))
+        return wi.with_labels(whole, self.positives())
+
     def window_index(self) -> DataFrame:
         """Labelled windows without arrays: (person_id, end_date, split, n_tokens, label)."""
         p = self.params
