@@ -36,6 +36,14 @@ def test_shards_hold_at_most_the_limit(spark, windows, tmp_path):
         sinks.read_split(spark, path, "test")
 
 
+def test_arrays_move_once_into_shards(spark, windows):
+    numbered = sinks.number_shards(windows.repartition(3), 40)
+    moves = numbered.select("input_ids", "shard")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in moves.splitlines() if "Exchange hashpartitioning" in line]
+    # one for the windows by (split, bucket), one for the counts, one for their offsets
+    assert len(exchanges) <= 3
+
+
 def test_binary_roundtrip(windows):
     packed = sinks.to_binary(windows)
     first = packed.where("person_id = 2").first()

@@ -39,3 +39,25 @@ def split_join(
     is_hot = F.coalesce(F.col(by).isin(hot), F.lit(False))
     heavy = facts.where(is_hot).join(F.broadcast(lookup.where(is_hot)), list(on), how)
     return heavy.unionByName(facts.where(~is_hot).join(lookup.where(~is_hot), list(on), how))
+
+
+#: Places over which the rows of a hot key are spread.
+SALTS = 32
+
+
+def salted_join(
+    facts: DataFrame, lookup: DataFrame, on: Sequence[str], hot: Sequence, spread: Sequence[str], how: str = "inner", by: str | None = None, salts: int = SALTS
+) -> DataFrame:
+    """Join of ``facts`` with ``lookup`` in which rows of the keys ``hot`` meet in ``salts`` places each.
+
+    Reads ``facts`` once, so it suits facts that are dear to compute; ``hot`` may come from ``hot_keys`` over their
+    source. ``spread`` are columns of ``facts`` that differ between the rows of a key. Lookup rows of hot keys are
+    repeated once for each place; with no hot key this is the plain join.
+    """
+    if not hot:
+        return facts.join(lookup, list(on), how)
+    is_hot = F.coalesce(F.col(by or on[0]).isin(list(hot)), F.lit(False))
+    salted = facts.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(salts))).otherwise(0).cast("int"))
+    last = F.when(is_hot, salts - 1).otherwise(0)
+    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")

@@ -29,6 +29,14 @@ def uniform(seed, *cols, digits: int = 8) -> Column:
     return F.conv(F.substring(hash_text(seed, *cols), 1, digits), 16, 10).cast("double") / F.lit(16.0**digits)
 
 
+def hash_digits(rows: int) -> int:
+    """Leading hash digits that cut ``rows`` into buckets of at most about ``ROWS_PER_BUCKET``."""
+    digits = 0
+    while rows > ROWS_PER_BUCKET * 16**digits:
+        digits += 1
+    return digits
+
+
 def hash_ranked(df: DataFrame, key: Sequence[str], seed, by: Sequence[str] = (), digits: int = 3) -> DataFrame:
     """Add ``ordinal`` (0-based place in hash order inside ``by``) and ``group_size``.
 

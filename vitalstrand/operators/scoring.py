@@ -69,7 +69,8 @@ def score_spans(tokens: DataFrame, calendar: DataFrame, weights: DataFrame, bias
     # a day's own row comes before the edges on that day
     upto = Window.partitionBy("person_id").orderBy("day", F.abs("edge")).rowsBetween(Window.unboundedPreceding, 0)
     run = days.unionByName(edges).select("person_id", "k", "edge", *[F.sum(c).over(upto).alias(c) for c in ("n", "w", "days")])
-    signed = lambda c: F.sum(F.col(c) * F.col("edge")).alias(c)
+    # a product would widen the decimal and cut its scale
+    signed = lambda c: F.sum(F.when(F.col("edge") > 0, F.col(c)).otherwise(-F.col(c))).alias(c)
     spans = run.where("edge <> 0").groupBy("person_id", "k").agg(signed("n"), signed("w"), signed("days")).where("n > 0")
     marks = weights.agg(
         *[F.coalesce(F.sum(F.when(F.col("tid").isin(ids), F.col("weight"))), F.lit(0.0)).alias(name) for name, ids in (("outer", [BOS, EOS]), ("between", [DAY_SEP]))]

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalstrand.config import ENC_SEP, ID_RANGES, STREAM_ORDER
+from vitalstrand.operators.joins import hot_keys, salted_join
 from vitalstrand.operators.ranks import distribution, order_statistics
 from vitalstrand.operators.signals import decile_of
 
@@ -33,10 +34,13 @@ def wearable_tokens(encoded: DataFrame) -> DataFrame:
 
 
 def coded_events(facts: DataFrame, day: str, key: str, lookup: DataFrame) -> DataFrame:
-    """Coded records as (person_id, ts, token, tid); a date is stamped at midnight."""
-    return facts.select("person_id", F.col(day).cast("timestamp").alias("ts"), F.col(key).alias("concept_id")).join(
-        lookup, "concept_id"
-    ).select("person_id", "ts", "token", "tid")
+    """Coded records as (person_id, ts, token, tid); a date is stamped at midnight.
+
+    A concept on a large share of the records is spread over tasks; a stream is joined as it comes.
+    """
+    dated = facts.select("person_id", F.col(day).cast("timestamp").alias("ts"), F.col(key).alias("concept_id"))
+    hot = [] if facts.isStreaming else hot_keys(dated, "concept_id")
+    return salted_join(dated, lookup, ["concept_id"], hot, ["person_id", "ts"]).select("person_id", "ts", "token", "tid")
 
 
 def ehr_tokens(*events: DataFrame) -> DataFrame:

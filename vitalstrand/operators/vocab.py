@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vitalstrand.config import ID_RANGES, SPECIAL_TOKENS, UNK
 from vitalstrand.functions.scalars import token_text
 from vitalstrand.operators.cohort import prefix_filter
+from vitalstrand.operators.joins import hot_keys, salted_join
 
 VOCAB_SCHEMA = "token STRING, tid INT, stream STRING, n BIGINT"
 
@@ -50,8 +51,10 @@ def _coded(concept: DataFrame, vocabulary: str) -> DataFrame:
 
 
 def with_codes(facts: DataFrame, key: str, concepts: DataFrame) -> DataFrame:
-    """Attach code and token to each record of a coded table."""
-    return facts.withColumnRenamed(key, "concept_id").join(concepts, "concept_id")
+    """Attach code and token to each record of a coded table; a concept on a large share of the records is spread over tasks."""
+    keyed = facts.withColumnRenamed(key, "concept_id")
+    rest = [c for c in keyed.columns if c != "concept_id"]
+    return salted_join(keyed, concepts, ["concept_id"], hot_keys(keyed, "concept_id"), rest)
 
 
 def coded_records(sources: list[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -15,6 +15,7 @@ from vitalstrand.plans.registry import dense, history, query
 from vitalstrand.session import fresh_path
 from vitalstrand.sources import bindings as b
 from vitalstrand.sources import sinks
+from vitalstrand.sources.snapshots import Snapshots
 
 H, D = "history", "dense"
 COHORT = "person_id:i fitbit_start:t fitbit_end:t year_of_birth:i age_at_fitbit_start:i"
@@ -50,6 +51,28 @@ def vocab_manifest(spark, sf_dir):
     return back.select(F.explode("vocab").alias("token", "tid"))
 
 
+@query("endpoint_manifest", compose(H, "SELECT name, CAST(concept_id AS BIGINT) AS concept_id FROM endpoint"))
+def endpoint_manifest(spark, sf_dir):
+    """Endpoint ids as a committed snapshot; a newer version that was written but never committed is not seen."""
+    home, endpoints = fresh_path(spark, "endpoint-manifest"), history(spark, sf_dir).endpoint_concepts
+    manifest = Snapshots(spark, home)
+    manifest.commit(endpoints.limit(1), manifest.next_version())
+    manifest.commit(endpoints, manifest.next_version())
+    endpoints.limit(2).write.parquet(f"{home}/data/table-{manifest.next_version()}-unfinished")
+    return manifest.read().select("name", "concept_id")
+
+
+@query("split_manifest", compose(H, "SELECT CAST(person_id AS BIGINT) AS person_id, split FROM splits"))
+def split_manifest(spark, sf_dir):
+    """Split of each person from the committed manifest; persons of before the first commit come from the given table."""
+    splits = history(spark, sf_dir).splits.select("person_id", "split")
+    manifest = Snapshots(spark, fresh_path(spark, "split-manifest"))
+    given = manifest.read(fallback=splits)
+    manifest.commit(given.where("split <> 'test'"), manifest.next_version())
+    manifest.commit(manifest.read().unionByName(splits.where("split = 'test'")), manifest.next_version(), partition_by=["split"])
+    return manifest.read().select("person_id", "split")
+
+
 @query(
     "sample_ids",
     compose(H, "SELECT CAST(person_id AS BIGINT) AS person_id FROM train ORDER BY md5('42:' || person_id) LIMIT 60"),

@@ -19,6 +19,7 @@ from vitalstrand.operators import signals as sg
 from vitalstrand.operators import tokens as tk
 from vitalstrand.operators import vocab as vo
 from vitalstrand.operators import windows as wi
+from vitalstrand.operators.joins import hot_keys, salted_join
 from vitalstrand.operators.ranks import hash_sample
 from vitalstrand.session import stage
 from vitalstrand.sources.tables import ClinicalTables
@@ -204,7 +205,10 @@ class Study:
             df.select("person_id", F.col(day).alias("day"), F.lit(stream).alias("stream"), F.col(key).alias("concept_id"))
             for stream, df, day, key in sources
         ]
-        records = self.members(dated[0].unionByName(dated[1])).join(self.code_ids, ["stream", "concept_id"])
+        coded = dated[0].unionByName(dated[1])
+        # hot concepts are sought in the source tables, which is cheaper than in the members' joined rows
+        hot = hot_keys(coded, "concept_id")
+        records = salted_join(self.members(coded), self.code_ids, ["stream", "concept_id"], hot, ["person_id", "day"], by="concept_id")
         return tk.ehr_tokens(records.select("person_id", F.col("day").cast("timestamp").alias("ts"), "token", "tid"))
 
     def tokens(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitalstrand.operators.ranks import hash_ranked
+from vitalstrand.operators.ranks import hash_digits, hash_ranked
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -25,19 +25,22 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def number_shards(windows: DataFrame, rows: int, seed="shards", key: Sequence[str] = ("person_id", "end_date")) -> DataFrame:
-    """Add ``shard``: consecutive blocks of ``rows`` windows per split, in hash order."""
-    ranked = hash_ranked(windows, list(key), seed, ["split"])
+    """Add ``shard``: consecutive blocks of ``rows`` windows per split, in hash order.
+
+    The hash order is cut by the row count, so a bucket holds many shards. Buckets are counted first, on the keys alone;
+    then the arrays move once, to their bucket, where they are numbered. Pass a staged table, as it is read twice.
+    """
+    ranked = hash_ranked(windows, list(key), seed, ["split"], hash_digits(windows.count()))
     return ranked.withColumn("shard", F.floor(F.col("ordinal") / rows).cast("int")).drop("ordinal", "group_size")
 
 
 def write_shards(windows: DataFrame, path: str, rows: int = 5000) -> None:
     """Parquet shards of at most ``rows`` windows, in one folder per split.
 
-    Windows are spread over tasks by (split, shard), so a split that holds most rows does not meet one writer.
+    Windows are written where they were numbered, by (split, bucket), so a split that holds most rows does not meet one writer.
     """
     (
         number_shards(windows, rows)
-        .repartition("split", "shard")
         .sortWithinPartitions("split", "shard")
         .write.mode("overwrite")
         .partitionBy("split")
