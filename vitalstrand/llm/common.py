@@ -12,7 +12,7 @@ from vitalstrand.session import stage
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
 #: Distinct words of one generation of a worker's memo; bounds its memory, not the result.
-WORD_MEMO = 400_000
+WORD_MEMO = 150_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

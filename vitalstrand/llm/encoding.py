@@ -19,11 +19,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the pieces and ids that a worker remembers before it starts over; bounds memory, not the result.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 48 << 20
 #: Bytes that one remembered piece costs beside its characters and ids: the string, its entry and its bounds.
 ENTRY_BYTES = 200
 #: Bytes of texts whose pieces are looked up together.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 #: Letters and punctuation of every Unicode version; between others no cut is made, which costs memory only.
 LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0410-\u044f\u4e00-\u9fa5"
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
