@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the pieces and ids that a worker remembers before it starts over; bounds memory, not the result.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 64 << 20
 #: Bytes that one remembered piece costs beside its characters and ids: the string, its entry and its bounds.
 ENTRY_BYTES = 200
 #: Bytes of texts whose pieces are looked up together.
@@ -68,17 +68,28 @@ class Encoder:
         rest = [p for p in pieces if p not in known]
         found = self._units(units) + (self._encode(rest) if rest else [])
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        at, need = len(self.place), int(sizes.sum())
+        self._hold(units + rest, sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+
+    def _hold(self, pieces: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        at, need = len(self.place), len(ids)
         while self.n_ids + need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(len(self.ids), dtype=np.int32)])
-        while at + len(found) + 1 > len(self.ends):
+        while at + len(pieces) + 1 > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), dtype=np.int64)])
-        self.ids[self.n_ids : self.n_ids + need] = np.fromiter(chain.from_iterable(found), np.int32, need)
-        self.ends[at + 1 : at + 1 + len(found)] = self.n_ids + np.cumsum(sizes)
+        self.ids[self.n_ids : self.n_ids + need] = ids
+        self.ends[at + 1 : at + 1 + len(pieces)] = self.n_ids + np.cumsum(sizes)
         self.n_ids += need
-        self.place.update(zip(units + rest, range(at, at + len(found)), strict=True))
+        self.place.update(zip(pieces, range(at, at + len(pieces)), strict=True))
         self.held += sum(map(len, pieces)) + 4 * need + ENTRY_BYTES * len(pieces)
 
+    def _renew(self, kept: list[str]) -> None:
+        """Start over with the pieces that came again; most of the others were met once."""
+        places = [self.place[p] for p in kept]
+        bounds = [(self.ends[i], self.ends[i + 1]) for i in places]
+        ids = [self.ids[a:b] for a, b in bounds]
+        self.forget()
+        self._hold(kept, np.array([b - a for a, b in bounds], dtype=np.int64), np.concatenate([np.empty(0, dtype=np.int32), *ids]))
+
     def _of_pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, one after the other, and the number of each."""
         coded = pieces.dictionary_encode()
@@ -86,8 +97,7 @@ class Encoder:
         new = [p for p in distinct if p not in self.place]
         if new:
             if self.held > MEMO_BYTES:
-                self.forget()
-                new = distinct
+                self._renew([p for p in distinct if p in self.place])
             self._learn(new)
         places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         starts, sizes = self.ends[places], self.ends[places + 1] - self.ends[places]
