@@ -7,20 +7,27 @@ into one token stream, and token runs that ``LEAST`` of the host's distinct text
 of the article goes if such runs cover it whole; where a page has no marked
 article its main text is the loose blocks, less the tokens that such runs cover.
 
-A host's stream is dealt to shards of bounded size. A suffix array of each shard (prefix doubling, so suffixes that
-share their first ``RUN`` tokens have one rank) finds the runs that repeat inside it. Runs are then counted by distinct text across
-the shards of the host by a combining aggregate, so the outcome doesn't depend on the shards and no host has to fit a task. Pages with the
-same tokens, whatever their id and url, are one text: copies of a page don't make its text boilerplate.
+Pages with the same article and loose blocks, whatever their id and url, are one text: copies of a page don't make its text boilerplate,
+and of copies one stands for all (the furniture of that one counts). A host's distinct texts are dealt to shards of about
+``SHARD_TOKENS`` tokens, or ``SHARD_TEXTS`` texts if those are longer. A run that a share of all texts hold is held by that share of the texts of
+one shard at least, so a suffix array of each shard (prefix doubling, so suffixes that share their first ``RUN`` tokens have one rank) gives
+the candidates: the runs that reach the share there. Only candidates are counted in the other shards, and only runs that reach the
+share of the whole host are marked in the pages. The outcome doesn't depend on the shards, no host has to fit a task, and no row is
+written for a token. Hosts and runs are 64-bit hashes.
+
+Inside an article a class or id removes an element only if one of its names is a page part as a whole (``related``, ``share-buttons``), not if it
+merely holds such a word (``related-work``); outside, any word of a name counts.
 
 Defined cases: null or empty html gives empty text; a page without a host in its url shares runs with no other; repeated rows are
 extracted each; a page that runs would empty keeps its text; very long pages are read whole; an unclosed element ends with
-its parent or the page; an empty table gives no rows; other columns are ignored.
+its parent or the page; a quoted attribute without an end is cut at the next ``>``; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,13 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalstrand.llm.common import WordHashes, mix
 from vitalstrand.session import stage
 
-#: Tokens of the shortest run that counts as boilerplate, and the tokens of one shard.
+#: Tokens of the shortest run that counts as boilerplate.
 RUN = 10
 #: Distinct texts of a host that hold a boilerplate run: their least number and their share.
 LEAST, SHARE = 3, 0.25
-SHARD_TOKENS = 200_000
+#: Tokens of one shard of a host, and its texts on average where those are more.
+SHARD_TOKENS, SHARD_TEXTS = 200_000, 16
 
 # Elements whose content is never text of the page.
 RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "head", "title")
@@ -51,6 +60,8 @@ NAMES = (
     "popup", "promo", "recommended", "related", "replies", "reply", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "widget",
 )
+# Words of a name that only say what kind of box a page part is.
+BOXES = ("area", "bar", "block", "box", "button", "buttons", "container", "content", "form", "inner", "item", "items", "links", "list", "outer", "panel", "section", "slot", "unit", "wrap", "wrapper")
 # Elements that end a block of text, elements without content, and elements closed by the next of their kind.
 BLOCKS = (
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
@@ -61,10 +72,10 @@ VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 # Inline elements, which a block's end closes and which never hold page furniture open.
 INLINE = ("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var")
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attr>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')?+)*+)(?:>|\Z)", re.S)
 ATTR = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[^\W_]+")
-_BLOCKS, _VOID, _INLINE, _FURNITURE, _NAMES, _ROLES = map(frozenset, (BLOCKS, VOID, INLINE, FURNITURE, NAMES, ROLES))
+_BLOCKS, _VOID, _INLINE, _FURNITURE, _NAMES, _ROLES, _BOXES = map(frozenset, (BLOCKS, VOID, INLINE, FURNITURE, NAMES, ROLES, BOXES))
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
 
 
@@ -72,8 +83,14 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name
 _NOTE = re.compile(r"(?:div-)?(?:comment|reply)(?:[-_].*)?", re.S)
 
 
-def furniture(name: str, attributes: str) -> bool:
-    """Whether an element is a part of the page other than its text, by its name, role, class or id."""
+def page_part(name: str) -> bool:
+    """Whether a class or id is the name of a page part as a whole: listed words, numbers and kinds of box, no other word."""
+    words = [w for w in WORD.findall(name) if not w.isdecimal()]
+    return any(w in _NAMES for w in words) and all(w in _NAMES or w in _BOXES for w in words)
+
+
+def furniture(name: str, attributes: str, inside: bool = False) -> bool:
+    """Whether an element, ``inside`` an article or not, is a part of the page other than its text, by its name, role, class or id."""
     if name in _FURNITURE:
         return True
     if not attributes:
@@ -83,25 +100,35 @@ def furniture(name: str, attributes: str) -> bool:
         key = key.lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in _ROLES):
             return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and not _NAMES.isdisjoint(WORD.findall(value)):
-            return True
+        if key not in ("class", "id") or name in ("html", "body", "main"):
+            continue
         # Names of an article tell more than its part of the page ("has-sidebar"); whole ones count.
-        if key in ("class", "id") and name == "article" and any(v in _NAMES or _NOTE.fullmatch(v) for v in value.split()):
+        if name == "article":
+            if any(v in _NAMES or _NOTE.fullmatch(v) for v in value.split()):
+                return True
+        elif inside:
+            if any(page_part(v) or _NOTE.fullmatch(v) for v in value.split()):
+                return True
+        elif not _NAMES.isdisjoint(WORD.findall(value)):
             return True
     return False
 
 
-def raw_end(page: str, name: str, at: int, parents: set[str]) -> int:
+def raw_end(page: str, name: str, at: int, parents: dict[str, list[int]], absent: set[str]) -> int:
     """Place after the raw element whose start tag ends at ``at``; an unclosed one ends before the end tag of its parent.
 
     Unclosed script and style reach to the end of the page; unclosed svg and math end before the next block too.
+    ``absent`` remembers names without a further end tag.
     """
-    end = _RAW_END[name].search(page, at)
+    end = None if name in absent else _RAW_END[name].search(page, at)
+    if end is None:
+        absent.add(name)
     if end and name in PLAIN:
         return end.end()
     if name in ("script", "style"):
         return len(page)
     inner: list[str] = []
+    depth: Counter = Counter()
     block = None
     place = at
     while m := TAG.search(page, place):
@@ -110,11 +137,13 @@ def raw_end(page: str, name: str, at: int, parents: set[str]) -> int:
             continue
         tag = m["name"].lower()
         if m["close"]:
-            if tag in inner:
-                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            if depth[tag]:
+                while (gone := inner.pop()) != tag:
+                    depth[gone] -= 1
+                depth[tag] -= 1
             elif tag == name:
                 return m.end()
-            elif tag in parents:
+            elif parents.get(tag):
                 break
         elif tag in ("script", "style"):
             close = _RAW_END[tag].search(page, place)
@@ -125,6 +154,7 @@ def raw_end(page: str, name: str, at: int, parents: set[str]) -> int:
                 break
             if tag not in _VOID and not (m["attr"] or "").rstrip().endswith("/"):
                 inner.append(tag)
+                depth[tag] += 1
     if name in ("svg", "math") and block is not None:
         return block
     return m.start() if m else len(page)
@@ -140,6 +170,10 @@ def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
     loose: list[str] = []
     around: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # name, in furniture, in article
+    # Places in open_ by name, and those of elements that aren't inline: an end tag costs what it closes.
+    where: dict[str, list[int]] = defaultdict(list)
+    solid: list[int] = []
+    absent: set[str] = set()
     parts: list[str] = []
     bad = article = marked = False
 
@@ -150,6 +184,14 @@ def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
             if text:
                 (around if bad else inside if article else loose).append(text)
 
+    def drop(place: int) -> tuple[bool, bool]:
+        while len(open_) > place:
+            name, *state = open_.pop()
+            where[name].pop()
+            if name not in _INLINE:
+                solid.pop()
+        return tuple(state)
+
     at = 0
     while True:
         m = TAG.search(page, at)
@@ -169,25 +211,26 @@ def blocks(page: str | None) -> tuple[list[str], list[str], list[str], bool]:
         elif name == "br":
             parts.append(" ")
         if m["close"]:
-            names = [o[0] for o in open_]
-            if name in names:
+            if where.get(name):
                 # The end of an inline element doesn't close blocks around it.
-                place = len(names) - 1 - names[::-1].index(name)
-                if name not in _INLINE or all(n in _INLINE for n in names[place:]):
+                place = where[name][-1]
+                if name not in _INLINE or not solid or solid[-1] < place:
                     flush() if open_[place][1:] != (bad, article) else None
-                    bad, article = open_[place][1:]
-                    del open_[place:]
+                    bad, article = drop(place)
         elif name in _RAW_END:
             if name == "head":
                 end = _RAW_END[name].search(page, at)
                 at = end.end() if end else at
             elif name not in ("svg", "math") or not (m["attr"] or "").rstrip().endswith("/"):
-                at = raw_end(page, name, at, {o[0] for o in open_})
+                at = raw_end(page, name, at, where, absent)
         elif name not in _VOID and not (m["attr"] or "").rstrip().endswith("/"):
             if name in ("p", "li", "option") and open_ and open_[-1][0] == name:
-                bad, article = open_.pop()[1:]
+                bad, article = drop(len(open_) - 1)
+            where[name].append(len(open_))
+            if name not in _INLINE:
+                solid.append(len(open_))
             open_.append((name, bad, article))
-            now_bad = bad or ((name != "header" or not article) and furniture(name, m["attr"]))
+            now_bad = bad or ((name != "header" or not article) and furniture(name, m["attr"], article))
             starts = name in ("article", "main") and not now_bad
             if (now_bad, article or starts) != (bad, article):
                 flush()
@@ -202,26 +245,35 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def signed(text: str) -> int:
+    """64-bit hash as a signed number."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - 2**64 if h >= 2**63 else h
+
+
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 512):
             part = batch.slice(lo, 512)
-            urls = part.column(1).to_pylist()
+            hosts = [host_of(u) for u in part.column(1).to_pylist()]
             found = [blocks(x) for x in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array([host_of(u) for u in urls], pa.string()),
-                    pa.array([b if marked else None for b, _, _, marked in found], pa.list_(pa.string())),
+                    pa.array([signed(h) if h else None for h in hosts], pa.int64()),
+                    pa.array([signed(" ".join(a) + "\0" + " ".join(b)) for a, b, _, _ in found], pa.int64()),
+                    pa.array([signed(" ".join(c)) for _, _, c, _ in found], pa.int64()),
+                    pa.array([sum(len(x.split()) for group in f[:3] for x in group) for f in found], pa.int64()),
+                    pa.array([a if marked else None for a, _, _, marked in found], pa.list_(pa.string())),
                     pa.array([b for _, b, _, _ in found], pa.list_(pa.string())),
-                    pa.array([b for _, _, b, _ in found], pa.list_(pa.string())),
+                    pa.array([c for _, _, c, _ in found], pa.list_(pa.string())),
                 ],
-                names=["page_id", "url", "host", "article", "loose", "around"],
+                names=["page_id", "url", "host", "page", "rest", "total", "article", "loose", "around"],
             )
 
 
-PARSED = "page_id long, url string, host string, article array<string>, loose array<string>, around array<string>"
+PARSED = "page_id long, url string, host long, page long, rest long, total long, article array<string>, loose array<string>, around array<string>"
 
 
 def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
@@ -248,49 +300,107 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def _shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a shard as (host, run, page, at, row), boilerplate only if it is the host's only shard."""
-    streams = [np.array(t, dtype=np.int64) for t in rows["tokens"]]
-    columns = ["host", "run", "page", "at", "row"]
+def joined_streams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes of the texts in one array, the text of each, and which of them begin a run inside their text."""
+    memo = WordHashes()
+    streams = [memo.of(t.split()).view(np.int64) >> 2 for t in texts]
     lengths = np.array([len(s) for s in streams])
-    if not lengths.sum():
-        return pd.DataFrame([], columns=columns)
-    # A mark of its own ends each page, so no run spans two pages.
+    # A mark of its own ends each text, so no run spans two.
     joined = np.concatenate([x for i, s in enumerate(streams) for x in (s, np.array([-(2**62) - i]))])
     owner = np.repeat(np.arange(len(streams)), lengths + 1)
-    place = np.concatenate([np.arange(n + 1) for n in lengths])
-    rank = suffix_ranks(joined, RUN)
-    fits = place + RUN <= lengths[owner]
-    owner, place, rank, start = owner[fits], place[fits], rank[fits], np.flatnonzero(fits)
-    if not len(rank):
-        return pd.DataFrame([], columns=columns)
-    # Texts are told apart by their hash: two rows of one text are one.
-    page = rows["page"].to_numpy()[owner]
-    order = np.lexsort((page, rank))
-    r, p = rank[order], page[order]
-    new = np.append(True, r[1:] != r[:-1])
-    group = np.cumsum(new) - 1
-    holders = np.add.reduceat(new | np.append(True, p[1:] != p[:-1]), np.flatnonzero(new), dtype=np.int64)[group]
+    place = np.arange(len(joined)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
+    return joined, owner, place + RUN <= lengths[owner]
+
+
+def run_keys(joined: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hash of the run that begins at each of the places."""
+    run = np.zeros(len(start), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        run = np.zeros(len(start), dtype=np.uint64)
         for i in range(RUN):
-            run = run * np.uint64(0x9E3779B97F4A7C15) + joined[start + i].astype(np.uint64)
-    out = pd.DataFrame({"host": key[0], "run": run[order].view(np.int64), "page": p, "at": place[order], "row": rows["row"].to_numpy()[owner][order]})
-    return out[holders >= max(LEAST, SHARE * rows["texts"].iloc[0])] if rows["shards"].iloc[0] == 1 else out
-
-
-def repeated_runs(streams: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(row, starts) of rows of ``streams`` (row, host, page, tokens; page is the hash of a text): where boilerplate runs begin."""
-    # One row a text first, so a host of many pages is counted by many tasks.
-    texts = streams.groupBy("host", "page").agg(F.sum(F.size("tokens")).alias("total"))
-    sizes = texts.groupBy("host").agg(F.sum("total").alias("total"), F.count("*").alias("texts"))
-    hosts = stage(sizes.select("host", F.ceil(F.greatest(F.col("total"), F.lit(1)) / shard_tokens).alias("shards"), "texts"), "page_hosts")
-    dealt = streams.join(hosts, "host").withColumn("shard", F.pmod(F.col("row"), F.col("shards")))
-    runs = dealt.groupBy("host", "shard").applyInPandas(_shard, "host string, run long, page long, at int, row long")
+            run = mix(run * np.uint64(0x9E3779B97F4A7C15) + joined[start + i].view(np.uint64))
+    return run.view(np.int64)
+
+
+def _candidates(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Runs of a shard as (host, run, shards, held) that reach their share of the texts there; ``need`` is the host's number."""
+    joined, owner, fits = joined_streams(rows["text"])
+    start = np.flatnonzero(fits)
+    need, texts, shards = rows["need"].iloc[0], rows["texts"].iloc[0], rows["shards"].iloc[0]
+    if len(start):
+        rank = suffix_ranks(joined, RUN)[start]
+        order = np.lexsort((owner[start], rank))
+        r, p = rank[order], owner[start][order]
+        new = np.append(True, r[1:] != r[:-1])
+        first = np.flatnonzero(new)
+        held = np.add.reduceat((new | np.append(True, p[1:] != p[:-1])).astype(np.int64), first)
+        # A rounding error may only let a run through, which is counted again.
+        good = held >= (need if shards == 1 else need * len(rows) / texts - 1e-6)
+        runs, held = run_keys(joined, start[order][first[good]]), held[good]
+    else:
+        runs, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return pd.DataFrame({"host": key[0], "run": runs, "shards": shards, "held": held})
+
+
+def _holders(key: tuple, rows: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+    """Texts of a shard that hold each of the sought runs, as (host, run, held)."""
+    if not len(rows) or not len(sought):
+        return pd.DataFrame({"host": [], "run": [], "held": []}, dtype="int64")
+    joined, owner, fits = joined_streams(rows["text"])
+    start = np.flatnonzero(fits)
+    runs = run_keys(joined, start)
+    found = np.isin(runs, sought["run"].to_numpy())
+    pairs = pd.DataFrame({"run": runs[found], "owner": owner[start][found]}).drop_duplicates()
+    held = pairs.groupby("run").size()
+    return pd.DataFrame({"host": key[0], "run": held.index.to_numpy(), "held": held.to_numpy()})
+
+
+def _marks(key: tuple, rows: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
+    """Rows with the places at which boilerplate runs begin, as (row, starts)."""
+    if not len(rows) or not len(sought):
+        return pd.DataFrame({"row": np.zeros(0, np.int64), "starts": np.zeros(0, object)})
+    joined, owner, fits = joined_streams(rows["text"])
+    start = np.flatnonzero(fits)
+    found = start[np.isin(run_keys(joined, start), sought["run"].to_numpy())]
+    begins = np.searchsorted(owner, np.arange(len(rows)))
+    at = pd.Series(found - begins[owner[found]]).groupby(rows["row"].to_numpy()[owner[found]]).agg(list)
+    return pd.DataFrame({"row": at.index.to_numpy(), "starts": at.to_numpy(object)})
+
+
+def repeated_runs(parsed: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame | None:
+    """(row, starts) of the rows of ``parsed`` that hold boilerplate runs; None if no host has any."""
+    whole = F.concat(F.coalesce("article", F.array().cast("array<string>")), "loose", "around")
+    hosted = parsed.filter("host is not null")
+    first = F.min(F.struct("rest", "row", "total")).alias("first")
+    texts = stage(hosted.groupBy("host", "page").agg(first, F.sum("total").alias("all_total"), F.count("*").alias("n")), "page_texts")
+    sizes = texts.groupBy("host").agg(F.sum("first.total").alias("total"), F.sum("all_total").alias("all_total"), F.count("*").alias("texts"))
+    shards = F.greatest(F.lit(1), F.least(F.ceil(F.col("total") / shard_tokens), F.floor(F.col("texts") / SHARD_TEXTS)))
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("all_total") / shard_tokens))
+    need = F.greatest(F.lit(float(LEAST)), F.col("texts") * SHARE)
+    # A host of fewer texts has no boilerplate.
+    hosts = sizes.filter(F.col("texts") >= LEAST).select("host", "texts", need.alias("need"), shards.alias("shards"), pieces.alias("pieces"))
+    hosts = stage(hosts, "page_hosts")
+    copies = hosted.select("host", "page", "row").join(texts.filter("n > 1").select("host", "page", "first"), ["host", "page"])
+    copies = stage(copies.filter("row <> first.row").select("row"), "page_copies")
+    text = F.array_join(whole, " ").alias("text")
+    dealt = hosted.join(hosts, "host").join(copies, "row", "left_anti")
+    dealt = dealt.select("host", F.pmod("page", "shards").alias("shard"), text, "need", "texts", "shards")
+    local = dealt.groupBy("host", "shard").applyInPandas(_candidates, "host long, run long, shards long, held long")
+    local = stage(local, "page_candidates")
+    runs = local.filter("shards = 1").select("host", "run")
+    wide = local.filter("shards > 1").select("host", "run").distinct()
+    if not wide.isEmpty():
+        each = wide.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "run")
+        mine = dealt.join(wide.select("host").distinct(), "host", "left_semi")
+        held = mine.groupBy("host", "shard").cogroup(each.groupBy("host", "shard")).applyInPandas(_holders, "host long, run long, held long")
+        total = held.groupBy("host", "run").agg(F.sum("held").alias("held")).join(hosts, "host")
+        runs = runs.unionByName(total.filter("held >= need").select("host", "run"))
     runs = stage(runs, "page_runs")
-    across = runs.select("host", "run", "page").distinct().groupBy("host", "run").agg(F.count("*").alias("holders"))
-    across = across.join(hosts, "host").filter(F.col("holders") >= F.greatest(F.lit(LEAST), F.col("texts") * SHARE)).select("host", "run")
-    return runs.join(across, ["host", "run"]).groupBy("row").agg(F.collect_list("at").alias("starts"))
+    if runs.isEmpty():
+        return None
+    each = runs.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "run")
+    mine = hosted.join(hosts, "host").join(runs.select("host").distinct(), "host", "left_semi")
+    mine = mine.select("host", F.pmod(F.xxhash64("row"), "pieces").alias("piece"), "row", text)
+    return mine.groupBy("host", "piece").cogroup(each.groupBy("host", "piece")).applyInPandas(_marks, "row long, starts array<long>")
 
 
 def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -298,13 +408,7 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = stage(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "pages_parsed")
 
-    @F.pandas_udf("array<long>")
-    def hashes(loose: pd.Series) -> pd.Series:
-        return loose.map(lambda b: [xxhash.xxh64_intdigest(w) >> 2 for x in b for w in x.split()])
-
-    all_ = F.concat(F.coalesce("article", F.array().cast("array<string>")), "loose", "around")
-    streams = parsed.filter("host <> ''").select("row", "host", F.xxhash64(F.concat_ws(" ", "article"), F.concat_ws(" ", "loose")).alias("page"), hashes(all_).alias("tokens"))
-    starts = repeated_runs(streams, shard_tokens)
+    starts = repeated_runs(parsed, shard_tokens)
 
     @F.pandas_udf("struct<text string, n_repeated long>")
     def finish(article: pd.Series, loose: pd.Series, around: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -328,5 +432,6 @@ def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
             out.append((text, int(covered.sum())))
         return pd.DataFrame(out, columns=["text", "n_repeated"])
 
-    done = parsed.join(starts, "row", "left").select("page_id", "url", finish("article", "loose", "around", "starts").alias("x"))
+    marked = parsed.withColumn("starts", F.lit(None).cast("array<long>")) if starts is None else parsed.join(stage(starts, "page_marks"), "row", "left")
+    done = marked.select("page_id", "url", finish("article", "loose", "around", "starts").alias("x"))
     return done.select("page_id", "url", "x.text", F.length("x.text").cast("long").alias("n_chars"), "x.n_repeated")
