@@ -11,8 +11,8 @@ Pages with the same article and loose blocks, whatever their id and url, are one
 and of copies one stands for all (the furniture of that one counts). A host's distinct texts are dealt to shards of about
 ``SHARD_TOKENS`` tokens, or ``SHARD_TEXTS`` texts if those are longer. A run that a share of all texts hold is held by that share of the texts of
 one shard at least, so a suffix array of each shard (prefix doubling, so suffixes that share their first ``RUN`` tokens have one rank) gives
-the candidates: the runs that reach the share there. Only candidates are counted in the other shards, and only runs that reach the
-share of the whole host are marked in the pages. The outcome doesn't depend on the shards, no host has to fit a task, and no row is
+the candidates: the runs that reach the share there. Tokens are two bytes of their hash for this, which may propose too much but misses nothing.
+Candidates are then counted in all shards by whole hashes, and only runs that reach the share of the whole host are marked in the pages. The outcome doesn't depend on the shards, no host has to fit a task, and no row is
 written for a token. Hosts and runs are 64-bit hashes.
 
 Inside an article a class or id removes an element only if one of its names is a page part as a whole (``related``, ``share-buttons``), not if it
@@ -36,9 +36,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitalstrand.llm.common import WordHashes, mix
-from vitalstrand.session import stage
+from vitalstrand.session import fresh_path, stage
 
 #: Tokens of the shortest run that counts as boilerplate.
 RUN = 10
@@ -300,16 +301,14 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def joined_streams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes of the texts in one array, the text of each, and which of them begin a run inside their text."""
-    memo = WordHashes()
-    streams = [memo.of(t.split()).view(np.int64) >> 2 for t in texts]
+def joined_streams(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the texts in one array, the text of each, and the places that begin a run inside their text."""
     lengths = np.array([len(s) for s in streams])
     # A mark of its own ends each text, so no run spans two.
-    joined = np.concatenate([x for i, s in enumerate(streams) for x in (s, np.array([-(2**62) - i]))])
+    joined = np.concatenate([x for i, s in enumerate(streams) for x in (s.view(np.int64) >> 2, np.array([-(2**62) - i]))])
     owner = np.repeat(np.arange(len(streams)), lengths + 1)
     place = np.arange(len(joined)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
-    return joined, owner, place + RUN <= lengths[owner]
+    return joined, owner, np.flatnonzero(place + RUN <= lengths[owner])
 
 
 def run_keys(joined: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -321,36 +320,48 @@ def run_keys(joined: np.ndarray, start: np.ndarray) -> np.ndarray:
     return run.view(np.int64)
 
 
+def coarse(stream: np.ndarray) -> np.ndarray:
+    """Tokens told apart by 16 bits of their hash, enough to propose runs: equal runs stay equal."""
+    return (stream & np.uint64(0xFFFF)) << np.uint64(2)
+
+
+def hashes_of(texts: pd.Series) -> list[np.ndarray]:
+    memo = WordHashes()
+    return [memo.of(t.split()) for t in texts]
+
+
+@F.pandas_udf(T.BinaryType())
+def codes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Two bytes for a token."""
+    memo = WordHashes()
+    for batch in texts:
+        yield batch.map(lambda t: memo.of(t.split()).astype("<u2").tobytes())
+
+
 def _candidates(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Runs of a shard as (host, run, shards, held) that reach their share of the texts there; ``need`` is the host's number."""
-    joined, owner, fits = joined_streams(rows["text"])
-    start = np.flatnonzero(fits)
-    need, texts, shards = rows["need"].iloc[0], rows["texts"].iloc[0], rows["shards"].iloc[0]
-    if len(start):
-        rank = suffix_ranks(joined, RUN)[start]
-        order = np.lexsort((owner[start], rank))
-        r, p = rank[order], owner[start][order]
-        new = np.append(True, r[1:] != r[:-1])
-        first = np.flatnonzero(new)
-        held = np.add.reduceat((new | np.append(True, p[1:] != p[:-1])).astype(np.int64), first)
-        # A rounding error may only let a run through, which is counted again.
-        good = held >= (need if shards == 1 else need * len(rows) / texts - 1e-6)
-        runs, held = run_keys(joined, start[order][first[good]]), held[good]
-    else:
-        runs, held = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return pd.DataFrame({"host": key[0], "run": runs, "shards": shards, "held": held})
+    """Coarse runs of a shard as (host, run) that reach their share of its texts; ``need`` is the host's number."""
+    joined, owner, start = joined_streams([coarse(np.frombuffer(c, "<u2").astype(np.uint64)) for c in rows["codes"]])
+    if not len(start):
+        return pd.DataFrame({"host": [], "run": []}, dtype="int64")
+    rank = suffix_ranks(joined, RUN)[start]
+    order = np.lexsort((owner[start], rank))
+    r, p = rank[order], owner[start][order]
+    new = np.append(True, r[1:] != r[:-1])
+    first = np.flatnonzero(new)
+    held = np.add.reduceat((new | np.append(True, p[1:] != p[:-1])).astype(np.int64), first)
+    # A rounding error may only let a run through, which is counted again.
+    good = held >= rows["need"].iloc[0] * len(rows) / rows["texts"].iloc[0] - 1e-6
+    return pd.DataFrame({"host": key[0], "run": run_keys(joined, start[order][first[good]])})
 
 
 def _holders(key: tuple, rows: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame:
-    """Texts of a shard that hold each of the sought runs, as (host, run, held)."""
+    """Texts of a shard that hold each run behind the sought coarse ones, as (host, run, held)."""
     if not len(rows) or not len(sought):
         return pd.DataFrame({"host": [], "run": [], "held": []}, dtype="int64")
-    joined, owner, fits = joined_streams(rows["text"])
-    start = np.flatnonzero(fits)
-    runs = run_keys(joined, start)
-    found = np.isin(runs, sought["run"].to_numpy())
-    pairs = pd.DataFrame({"run": runs[found], "owner": owner[start][found]}).drop_duplicates()
-    held = pairs.groupby("run").size()
+    streams = hashes_of(rows["text"])
+    joined, owner, start = joined_streams(streams)
+    start = start[np.isin(run_keys(joined_streams([coarse(s) for s in streams])[0], start), sought["run"].to_numpy())]
+    held = pd.DataFrame({"run": run_keys(joined, start), "owner": owner[start]}).drop_duplicates().groupby("run").size()
     return pd.DataFrame({"host": key[0], "run": held.index.to_numpy(), "held": held.to_numpy()})
 
 
@@ -358,8 +369,7 @@ def _marks(key: tuple, rows: pd.DataFrame, sought: pd.DataFrame) -> pd.DataFrame
     """Rows with the places at which boilerplate runs begin, as (row, starts)."""
     if not len(rows) or not len(sought):
         return pd.DataFrame({"row": np.zeros(0, np.int64), "starts": np.zeros(0, object)})
-    joined, owner, fits = joined_streams(rows["text"])
-    start = np.flatnonzero(fits)
+    joined, owner, start = joined_streams(hashes_of(rows["text"]))
     found = start[np.isin(run_keys(joined, start), sought["run"].to_numpy())]
     begins = np.searchsorted(owner, np.arange(len(rows)))
     at = pd.Series(found - begins[owner[found]]).groupby(rows["row"].to_numpy()[owner[found]]).agg(list)
@@ -383,17 +393,15 @@ def repeated_runs(parsed: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFr
     copies = stage(copies.filter("row <> first.row").select("row"), "page_copies")
     text = F.array_join(whole, " ").alias("text")
     dealt = hosted.join(hosts, "host").join(copies, "row", "left_anti")
-    dealt = dealt.select("host", F.pmod("page", "shards").alias("shard"), text, "need", "texts", "shards")
-    local = dealt.groupBy("host", "shard").applyInPandas(_candidates, "host long, run long, shards long, held long")
-    local = stage(local, "page_candidates")
-    runs = local.filter("shards = 1").select("host", "run")
-    wide = local.filter("shards > 1").select("host", "run").distinct()
-    if not wide.isEmpty():
-        each = wide.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "run")
-        mine = dealt.join(wide.select("host").distinct(), "host", "left_semi")
-        held = mine.groupBy("host", "shard").cogroup(each.groupBy("host", "shard")).applyInPandas(_holders, "host long, run long, held long")
-        total = held.groupBy("host", "run").agg(F.sum("held").alias("held")).join(hosts, "host")
-        runs = runs.unionByName(total.filter("held >= need").select("host", "run"))
+    dealt = dealt.select("host", F.pmod("page", "shards").alias("shard"), text, "need", "texts")
+    local = dealt.select("host", "shard", codes("text").alias("codes"), "need", "texts").groupBy("host", "shard")
+    sought = stage(local.applyInPandas(_candidates, "host long, run long"), "page_candidates").distinct()
+    if sought.isEmpty():
+        return None
+    each = sought.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "run")
+    mine = dealt.join(sought.select("host").distinct(), "host", "left_semi").groupBy("host", "shard")
+    held = mine.cogroup(each.groupBy("host", "shard")).applyInPandas(_holders, "host long, run long, held long")
+    runs = held.groupBy("host", "run").agg(F.sum("held").alias("held")).join(hosts, "host").filter("held >= need").select("host", "run")
     runs = stage(runs, "page_runs")
     if runs.isEmpty():
         return None
@@ -406,7 +414,10 @@ def repeated_runs(parsed: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFr
 def extract(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """page_id, url, text, n_chars, n_repeated (tokens that boilerplate runs cover) of every row of ``pages``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = stage(rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id()), "pages_parsed")
+    parsed = rows.mapInArrow(parse, PARSED).withColumn("row", F.monotonically_increasing_id())
+    path = fresh_path(pages.sparkSession, "pages_parsed")
+    parsed.write.option("compression", "zstd").parquet(path)
+    parsed = pages.sparkSession.read.schema(parsed.schema).parquet(path)
 
     starts = repeated_runs(parsed, shard_tokens)
 
