@@ -5,6 +5,8 @@ random bit of that token decides whether the pointer moves on. Two walks with th
 again after an insertion or deletion, so sequences at small edit distance emit sequences at small Hamming distance.
 A walk of ``STEPS`` steps starts at every token of every document and item; its key samples the first and the last step.
 Tables come in pairs of complementary bits, so one walk of a pair leaves its first token; walks that stay are skipped.
+A walk can only end one or two places on, so the tables share two keys a place: each is looked up once, and its vote counts the tables
+in which the walks of both sides end there.
 
 Equal keys are votes for an item at a place. ``votes`` gives the tables that an item of n tokens uses, more for a short one, and
 the votes that it asks for: the most that still reach ``RECALL`` when a share ``CHANGED`` x ``max_distance`` of the tokens is changed, each at random. Votes are
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from vitalstrand.llm.common import WordHashes
 from vitalstrand.session import stage
 
-#: Two moves; ``walk`` is written out for them.
+#: Two moves; ``walk_ends`` is written out for them.
 STEPS = 3
 #: Tables in use by length: the first entry at which one shared pair of tokens isn't enough, else the last.
 TABLES = (2, 4, 6, 8)
@@ -57,6 +59,7 @@ BARE = re.compile(r"[\W_]+")
 OUT = "doc_id long, item_id long, start long, end long, distance long, similarity double"
 
 
+@lru_cache(maxsize=1 << 15)
 def token(piece: str) -> str:
     """Letters and digits of a piece between white space, in lower case; may be empty."""
     bare = piece.strip(".,")
@@ -82,26 +85,41 @@ class TokenHashes(WordHashes):
 
 #: Bits of a token's hash that hold its length.
 LENGTH = (1 << 20) - 1
-SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (t + 1) & (2**64 - 1)) for t in range(TABLES[-1] + 1)]
+#: Places from a walk's first token to its last; 0 stands for the keys of one token.
+GAPS = (0, 1, 2)
+#: Keys of one token, and keys of a walk's first and last token, however far apart.
+SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (2**64 - 1)) for k in range(2)]
+_PATTERN = np.arange(1 << STEPS * (TABLES[-1] // 2))
+
+
+def _leaves(step: int) -> np.ndarray:
+    """By the walk bits of a token, the tables (as bits) whose walk leaves it at this step; the second of a pair where the first stays."""
+    out = np.zeros(len(_PATTERN), dtype=np.uint8)
+    for table in range(TABLES[-1]):
+        bit = (_PATTERN >> STEPS * (table // 2) + step & 1) ^ (table % 2)
+        out |= (bit << table).astype(np.uint8)
+    return out
+
+
+FIRST, SECOND = _leaves(0), _leaves(1)
+TABLE_COUNT = np.array([bin(k).count("1") for k in range(256)], dtype=np.int64)
 
 
-def walk(hashes: np.ndarray, n: int, table: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of the walk from each of the first ``n`` places by its first and last step, and the place of the last.
+def walk_ends(hashes: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each gap the tables (as bits) in which the walk from each of the first ``n`` places ends that far on.
 
-    ``hashes`` must reach ``STEPS`` places beyond the last start. The table after the last has keys of one token.
+    ``hashes`` must reach ``STEPS`` places beyond the last start.
     """
-    if table == TABLES[-1]:
-        with np.errstate(over="ignore"):
-            return (SEEDS[table] + hashes[:n]) * np.uint64(0x9E3779B97F4A7C15), np.arange(n)
-    # The second table of a pair moves where the first one stays.
-    bits = (hashes >> np.uint64(32 + STEPS * (table // 2))).astype(np.uint8)
-    if table % 2:
-        bits = ~bits
-    first, second = (bits & 1).astype(bool), (bits >> 1) & 1
-    at = np.arange(n) + first[:n] + np.where(first[:n], second[1 : n + 1], second[:n])
+    bits = (hashes[: n + 1] >> np.uint64(32)).astype(np.int64) & (len(_PATTERN) - 1)
+    first, second = FIRST[bits[:n]], SECOND[bits]
+    return [np.ones(n, dtype=np.uint8), first & ~second[1:] | ~first & second[:n], first & second[1:]]
+
+
+def walk_keys(hashes: np.ndarray, n: int, gap: int) -> np.ndarray:
+    """Key of each of the first ``n`` places by its token and the one ``gap`` places on."""
     with np.errstate(over="ignore"):
-        key = ((SEEDS[table] + hashes[:n]) * np.uint64(0x9E3779B97F4A7C15) + hashes[at]) * np.uint64(0x9E3779B97F4A7C15)
-    return key, at
+        key = (SEEDS[min(gap, 1)] + hashes[:n]) * np.uint64(0x9E3779B97F4A7C15)
+        return (key + hashes[gap : n + gap]) * np.uint64(0x9E3779B97F4A7C15) if gap else key
 
 
 @lru_cache(maxsize=4096)
@@ -149,8 +167,11 @@ def votes(n_tokens: int, max_distance: float = MAX_DISTANCE) -> tuple[int, int]:
     return 0, kept or (1 if n_tokens > 3 else -(-n_tokens // 2))
 
 
-def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
-    """Least edits from ``pattern`` to a substring of ``text`` and the end of the first such, bit-parallel."""
+def edit_distance_within(pattern: str, text: str, most: int | None = None) -> tuple[int, int]:
+    """Least edits from ``pattern`` to a substring of ``text`` and the end of the first such, bit-parallel.
+
+    With ``most``, reading ends as soon as no more than that many edits can't be reached, and what is returned is above it.
+    """
     m = len(pattern)
     masks: dict[str, int] = defaultdict(int)
     for i, c in enumerate(pattern):
@@ -158,6 +179,8 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
     best, end = m, 0
+    # A place of the text lowers the score by one at most.
+    spare = len(text) - 1 + (m + len(text) if most is None else most)
     for j, c in enumerate(text):
         eq = masks.get(c, 0)
         d0 = (((eq & up) + up) ^ up) | eq | down
@@ -171,12 +194,14 @@ def edit_distance_within(pattern: str, text: str) -> tuple[int, int]:
         up, down = right_down | (~(d0 | right_up) & full), right_up & d0
         if score < best:
             best, end = score, j + 1
+        if score + j > spare and best > most:
+            break
     return best, end
 
 
 @dataclass
 class Items:
-    """A block of items: normalised texts, and sorted keys with the item and character offset they stand for."""
+    """A block of items: normalised texts, and sorted keys of one and of two tokens with the item, character offset and tables they stand for."""
 
     ids: list[int]
     texts: list[str]
@@ -185,13 +210,14 @@ class Items:
     keys: list[np.ndarray] = field(default_factory=list)
     item: list[np.ndarray] = field(default_factory=list)
     offset: list[np.ndarray] = field(default_factory=list)
+    tables: list[np.ndarray] = field(default_factory=list)
     seen: list[np.ndarray] = field(default_factory=list)
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]], max_distance: float = MAX_DISTANCE) -> Items:
         ids, texts, needed = [], [], []
         hashes = TokenHashes()
-        found = [([], [], []) for _ in range(TABLES[-1] + 1)]
+        found = [([], [], [], []) for _ in SEEDS]
         for item_id, text in rows:
             words = tokens(text)
             if not words:
@@ -205,14 +231,16 @@ class Items:
             begins = char_starts(own)
             h = np.concatenate([own, PAD])
             starts = np.arange(len(words))
-            for t in range(tables) if tables else [TABLES[-1]]:
-                key, last = walk(h, len(words), t)
-                good = (last > starts) & (last < len(words)) if tables else starts == starts
-                for group, values in zip(found[t], (key[good], np.full(int(good.sum()), number), begins[good]), strict=True):
-                    group.append(values)
+            ends = walk_ends(h, len(words))
+            for gap in GAPS[1:] if tables else GAPS[:1]:
+                mask = ends[gap] & np.uint8((1 << max(tables, 1)) - 1)
+                good = (mask > 0) & (starts + gap < len(words))
+                values = (walk_keys(h, len(words), gap)[good], np.full(int(good.sum()), number), begins[good], mask[good])
+                for group, part in zip(found[min(gap, 1)], values, strict=True):
+                    group.append(part)
         out = cls(ids, texts, np.array([int(max_distance * len(t)) for t in texts], dtype=np.int64), np.array(needed, dtype=np.int64))
-        for t in range(TABLES[-1] + 1):
-            key, item, offset = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in found[t])
+        for group in found:
+            key, item, offset, mask = (np.concatenate(g) if g else np.zeros(0, np.int64) for g in group)
             key = key.astype(np.uint64)
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << FILTER_BITS, dtype=bool)
@@ -220,6 +248,7 @@ class Items:
             out.keys.append(key[order])
             out.item.append(item[order])
             out.offset.append(offset[order])
+            out.tables.append(mask[order].astype(np.uint8))
             out.seen.append(seen)
         return out
 
@@ -235,6 +264,8 @@ def char_starts(hashes: np.ndarray) -> np.ndarray:
 
 def _counted(doc: np.ndarray, number: np.ndarray, band: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Sums of ``n`` by (doc, number, band)."""
+    if not len(n):
+        return doc, number, band, n
     order = np.lexsort((band, number, doc))
     doc, number, band = doc[order], number[order], band[order]
     first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (number[1:] != number[:-1]) | (band[1:] != band[:-1])))
@@ -249,24 +280,27 @@ def candidates(hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray, items: I
     most d apart share a band.
     """
     sums: list[tuple[np.ndarray, ...]] = []
-    for t in range(TABLES[-1] + 1):
-        if not len(items.keys[t]):
+    n_places = len(hashes) - STEPS
+    ends = walk_ends(hashes, n_places)
+    for gap in GAPS:
+        kind = min(gap, 1)
+        if not len(items.keys[kind]):
             continue
-        key, at = walk(hashes, len(hashes) - STEPS, t)
-        hit = np.flatnonzero(items.seen[t][(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
-        low = np.searchsorted(items.keys[t], key[hit], side="left")
-        size = np.searchsorted(items.keys[t], key[hit], side="right") - low
-        good = (size > 0) & ((at[hit] > hit) | (t == TABLES[-1])) & (doc[at[hit]] == doc[hit]) & (begins[at[hit]] > 0)
-        hit, low, size = hit[good], low[good], size[good]
+        key = walk_keys(hashes, n_places, gap)
+        hit = np.flatnonzero(items.seen[kind][(key >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
+        hit = hit[(ends[gap][hit] > 0) & (doc[hit + gap] == doc[hit]) & (begins[hit + gap] > 0)]
+        low = np.searchsorted(items.keys[kind], key[hit], side="left")
+        size = np.searchsorted(items.keys[kind], key[hit], side="right") - low
+        hit, low, size = hit[size > 0], low[size > 0], size[size > 0]
         part = np.cumsum(size) // HITS
         for lo, hi in zip(*(np.searchsorted(part, np.unique(part), side=s) for s in ("left", "right")), strict=True):
             n, place = size[lo:hi], hit[lo:hi]
             source = np.repeat(low[lo:hi] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            number = items.item[t][source]
-            band = (np.repeat(begins[place], n) - items.offset[t][source]) // (items.edits[number] + 1)
-            of = np.repeat(doc[place], n)
-            sums.append(_counted(of, number, band, np.ones(len(of), dtype=np.int64)))
-    if not sums:
+            count = TABLE_COUNT[items.tables[kind][source] & np.repeat(ends[gap][place], n)]
+            number = items.item[kind][source]
+            band = (np.repeat(begins[place], n) - items.offset[kind][source]) // (items.edits[number] + 1)
+            sums.append(_counted(*(x[count > 0] for x in (np.repeat(doc[place], n), number, band, count))))
+    if not sum(len(x[0]) for x in sums):
         return {}
     of, number, band, n = _counted(*(np.concatenate(x) for x in zip(*sums, strict=True)))
     # A band is two neighbouring cells.
@@ -279,13 +313,18 @@ def candidates(hashes: np.ndarray, doc: np.ndarray, begins: np.ndarray, items: I
     return out
 
 
+@lru_cache(maxsize=4096)
+def cut(pattern: str, size: int, phase: int) -> list[str]:
+    return [pattern[k : k + size] for k in range(phase, len(pattern) - size + 1, size)]
+
+
 def may_hold(window: str, pattern: str, d: int) -> bool:
     """False if ``pattern`` can't be within ``d`` edits of a part of ``window``: an edit spoils one of disjoint pieces at most."""
     for size in (3, 4):
         for phase in range(size):
             spoiled = 0
-            for k in range(phase, len(pattern) - size + 1, size):
-                if pattern[k : k + size] not in window:
+            for piece in cut(pattern, size, phase):
+                if piece not in window:
                     spoiled += 1
                     if spoiled > d:
                         return False
@@ -320,7 +359,7 @@ def verify(
         window = f" {' '.join(part)} "
         if not may_hold(window, pattern, d):
             continue
-        distance, end = edit_distance_within(pattern, window)
+        distance, end = edit_distance_within(pattern, window, d)
         if distance <= d and (number not in best or distance < best[number][0]):
             _, length = edit_distance_within(pattern[::-1], window[:end][::-1])
             inside = window[end - length : end]
