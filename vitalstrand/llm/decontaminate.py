@@ -331,6 +331,21 @@ def may_hold(window: str, pattern: str, d: int) -> bool:
     return True
 
 
+def may_begin(window: str, pattern: str, d: int) -> bool:
+    """False if no part of ``window`` is within ``d`` edits of ``pattern`` wherever it begins: pieces without an edit move by ``d`` at most."""
+    pieces = list(zip(range(0, len(pattern), 3), cut(pattern, 3, 0), strict=False))
+    for begin in range(0, len(window) - len(pattern) + d + 1, d + 1):
+        spoiled = 0
+        for k, piece in pieces:
+            if window.find(piece, max(0, begin + k - d), begin + k + 2 * d + 3) < 0:
+                spoiled += 1
+                if spoiled > d:
+                    break
+        else:
+            return True
+    return False
+
+
 def verify(
     text: str, begins: np.ndarray, found: list[tuple[int, int, int]], items: Items
 ) -> Iterator[tuple[int, int, int, int, float]]:
@@ -357,7 +372,7 @@ def verify(
             place = [k for k, x in enumerate(pieces) if token(x)] if len(pieces) != len(begins) else range(len(pieces))
         part = words[a:b] if words is not None else [token(pieces[k]) for k in place[a:b]]
         window = f" {' '.join(part)} "
-        if not may_hold(window, pattern, d):
+        if not may_hold(window, pattern, d) or not may_begin(window, pattern, d):
             continue
         distance, end = edit_distance_within(pattern, window, d)
         if distance <= d and (number not in best or distance < best[number][0]):
