@@ -37,6 +37,9 @@ STREAM_ORDER = {"HR": 0, "STEPS": 1, "HRV": 2, "EHR": 3}
 # Visit concepts that count as an inpatient encounter.
 INPATIENT_VISITS = (9201, 9203, 262)
 
+# Condition statuses of a primary diagnosis (of an admission, in general, at discharge).
+PRIMARY_STATUSES = (32901, 32902, 32903)
+
 # Endpoint code sets (ICD-10-CM prefixes).
 CARDIO_ENDPOINTS = {
     "afib": ["I48"],

@@ -11,6 +11,28 @@ from vitalstrand.operators.metrics import auroc
 from vitalstrand.operators.ranks import distribution, quantiles_linear
 
 
+def fingerprint(rows: DataFrame, artefact: str) -> DataFrame:
+    """One row (artefact, n_rows, hash_sum, hash_xor) that names the rows of a table whatever their order and partitions.
+
+    Sum and xor of row hashes combine before the shuffle; repeated rows count in the sum. Columns enter by name.
+    """
+    columns = sorted(rows.columns)
+    h = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+    return rows.agg(
+        F.lit(artefact).alias("artefact"), F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("hash_sum"),
+        F.coalesce(F.bit_xor(h), F.lit(0).cast("long")).alias("hash_xor"),
+    )
+
+
+def leakage(fitted: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(artefact, n_rows, n_allowed, leaked): whether an artefact was fitted on other rows than it may read."""
+    other = allowed.select("artefact", F.col("n_rows").alias("n_allowed"), F.struct("n_rows", "hash_sum", "hash_xor").alias("_may"))
+    both = fitted.join(other, "artefact", "left")
+    same = F.struct("n_rows", "hash_sum", "hash_xor").eqNullSafe(F.col("_may"))
+    return both.select("artefact", "n_rows", "n_allowed", (~same).alias("leaked"))
+
+
 def cap_persons(rows: DataFrame, n: int) -> DataFrame:
     """Rows of the first ``n`` persons by id; each kept person keeps every row."""
     first = rows.select("person_id").distinct().orderBy("person_id").limit(n)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitalstrand.config import PRIMARY_STATUSES
 from vitalstrand.functions.scalars import encounter_type
+from vitalstrand.operators.joins import within_spans
 from vitalstrand.operators.ranks import hash_ranked, uniform
 
 
@@ -170,6 +172,24 @@ def qualified_events(events: DataFrame, expanded: DataFrame, inpatient_only=("mi
     return named.where(~F.col("name").isin(*inpatient_only) | (F.col("encounter_type") == "inpatient"))
 
 
+def admitted_primary_events(conditions: DataFrame, ids: DataFrame, visits: DataFrame, statuses=PRIMARY_STATUSES) -> DataFrame:
+    """Primary diagnoses of a code set within an inpatient stay of the person, with the earliest such stay's first day.
+
+    One row for each (person_id, condition_start_date, condition_concept_id). The stay is found by its days, so a condition
+    needs no visit id; a stay without an end is one day.
+    """
+    day, stay = "condition_start_date", ("visit_start_date", "visit_end_date")
+    coded = conditions.where(F.col("condition_status_concept_id").isin(*statuses)).join(
+        ids.select(F.col("concept_id").alias("condition_source_concept_id")), "condition_source_concept_id", "left_semi"
+    )
+    stays = visits.where(encounter_type("visit_concept_id") == "inpatient").select(
+        "person_id", stay[0], F.coalesce(stay[1], stay[0]).alias(stay[1])
+    )
+    keys = ["person_id", day, "condition_concept_id"]
+    held = within_spans(coded.select(*keys).distinct(), stays.distinct(), ["person_id"], day, *stay)
+    return held.groupBy(*keys).agg(F.min(stay[0]).alias("admission_date"))
+
+
 def device_afib_events(records: DataFrame) -> DataFrame:
     """Days on which a device recorded atrial fibrillation, as endpoint events (person_id, event_day)."""
     found = records.where(F.col("classification") == "atrialFibrillation")

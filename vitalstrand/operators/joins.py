@@ -61,3 +61,22 @@ def salted_join(
     last = F.when(is_hot, salts - 1).otherwise(0)
     repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
     return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+
+
+#: Days of one cell of the calendar in ``within_spans``.
+CELL_DAYS = 8
+
+
+def within_spans(points: DataFrame, spans: DataFrame, on: Sequence[str], at: str, start: str, end: str, days: int = CELL_DAYS) -> DataFrame:
+    """Pairs of a point and a span of the same key that holds its day, both ends included.
+
+    The calendar is cut into cells. A span is repeated for each cell it reaches, a point is in one, so containment is an
+    equi-join on key and cell, and a key's rows are spread over its cells. Null days and spans that end before they start match nothing.
+    """
+
+    def cell(day: str):
+        return F.floor(F.unix_date(F.col(day)) / F.lit(days))
+
+    cells = spans.where(F.col(start) <= F.col(end)).withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    pairs = points.withColumn("_cell", cell(at)).join(cells, [*on, "_cell"])
+    return pairs.where(F.col(at).between(F.col(start), F.col(end))).drop("_cell")

@@ -16,6 +16,7 @@ from vitalstrand.session import fresh_path
 from vitalstrand.sources import bindings as b
 from vitalstrand.sources import sinks
 from vitalstrand.sources.snapshots import Snapshots
+from vitalstrand.sources.tables import codeset_table
 
 H, D = "history", "dense"
 COHORT = "person_id:i fitbit_start:t fitbit_end:t year_of_birth:i age_at_fitbit_start:i"
@@ -316,6 +317,26 @@ def endpoint_inpatient(spark, sf_dir):
     )
 
 
+@query(
+    "endpoint_hf",
+    compose(
+        H,
+        "SELECT CAST(li.person_id AS BIGINT) AS person_id, strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS condition_start_date, "
+        "CAST(l_partkey AS BIGINT) AS condition_concept_id, strftime(MIN(CAST(v.o_orderdate AS DATE)), '%Y-%m-%d') AS admission_date "
+        "FROM li JOIN orders v ON v.o_custkey = li.person_id AND substr(v.o_orderpriority, 1, 1) IN ('1', '2', '3') "
+        "AND CAST(l_shipdate AS DATE) BETWEEN CAST(v.o_orderdate AS DATE) AND CAST(v.o_orderdate AS DATE) + 2 "
+        "WHERE l_returnflag IN ('A', 'R') AND l_linenumber % 2 = 1 AND l_partkey IN (SELECT concept_id FROM concept "
+        "WHERE vocabulary_id = 'ICD10CM' AND (concept_code LIKE 'S%' OR concept_code LIKE 'E1%' OR concept_code LIKE 'E2%')) "
+        "GROUP BY li.person_id, CAST(l_shipdate AS DATE), l_partkey",
+    ),
+)
+def endpoint_hf(spark, sf_dir):
+    """Heart failure as primary diagnosis during an admission."""
+    t = history(spark, sf_dir).tables
+    ids = co.endpoint_ids(co.expand_codeset(t.concept, codeset_table(spark, b.HF_CODESET)))
+    return co.admitted_primary_events(t.condition_occurrence, ids, t.visit_occurrence)
+
+
 @query(
     "death_endpoint",
     compose(
@@ -381,6 +402,25 @@ def split_overlap(spark, sf_dir):
     return co.split_overlap(history(spark, sf_dir).splits)
 
 
+_TRAIN = "person_id IN (SELECT person_id FROM train)"
+
+
+@query(
+    "leakage_audit",
+    compose(
+        H,
+        "SELECT artefact, n AS n_rows, n AS n_allowed, CAST(0 AS BIGINT) AS leaked FROM (SELECT 'hr_cuts' AS artefact, COUNT(*) AS n FROM "
+        f"(SELECT DISTINCT person_id, date_trunc('hour', dt), minute(dt) // 5 FROM hr WHERE val IS NOT NULL AND {_TRAIN}) "
+        f"UNION ALL SELECT 'steps_cuts', COUNT(*) FROM steps_day WHERE {_TRAIN} "
+        "UNION ALL SELECT 'vocab', COUNT(*) FROM (SELECT person_id FROM cond UNION ALL SELECT person_id FROM proc "
+        f"UNION ALL SELECT person_id FROM drug UNION ALL SELECT person_id FROM meas) WHERE {_TRAIN})",
+    ),
+)
+def leakage_audit(spark, sf_dir):
+    """Fitted artefacts and whether they read other rows than those of training persons."""
+    return history(spark, sf_dir).leakage()
+
+
 @query(
     "split_stats",
     compose(H, "SELECT split, COUNT(*) AS n, ROUND(AVG(has_event), 6) AS pos_rate FROM splits GROUP BY split"),

@@ -7,12 +7,13 @@ more than once are written to the shared folder the first time they are asked fo
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitalstrand.config import CARDIAC_LOINC, StudyParams
+from vitalstrand.operators import audit as au
 from vitalstrand.operators import cohort as co
 from vitalstrand.operators import scoring as sc
 from vitalstrand.operators import signals as sg
@@ -128,13 +129,18 @@ class Study:
         train, n = self.persons("train"), self.params.reference_persons
         return train if n is None else stage(hash_sample(train, ["person_id"], n, self.params.reference_seed), "sample")
 
+    def reference_rows(self) -> dict[str, DataFrame]:
+        """Binned rows that the cut points are fitted on."""
+        sample = self.reference_persons()
+        hr = co.restrict(self.hr_sums, sample, n_ids=self.n_persons)
+        steps = co.restrict(self.steps_by_day, sample, n_ids=self.n_persons)
+        return {"hr_cuts": hr, "steps_cuts": steps}
+
     def reference(self) -> DataFrame:
         p = self.params
         _ = self.n_persons  # both artefacts below read the splits
         self._together("hr_sums", "steps_by_day")
-        sample = self.reference_persons()
-        hr = co.restrict(self.hr_sums, sample, n_ids=self.n_persons)
-        steps = co.restrict(self.steps_by_day, sample, n_ids=self.n_persons)
+        hr, steps = self.reference_rows().values()
         values = sg.hr_reference(hr, p.hr_bin_minutes, p.pool_hours, p.reference_rows, p.reference_seed)
         return values.unionByName(steps.select(F.lit("STEPS").alias("stream"), "v"))
 
@@ -142,8 +148,8 @@ class Study:
     def cuts(self) -> DataFrame:
         return stage(sg.decile_cuts(self.reference()), "cuts")
 
-    def token_counts(self) -> DataFrame:
-        """(stream, token, n) over the coded records of training persons."""
+    def code_sources(self) -> tuple[DataFrame, dict[str, DataFrame]]:
+        """Coded records of all persons and the lookups of their streams."""
         t = self.tables
         sources = [
             ("DX10", t.condition_occurrence, "condition_source_concept_id"),
@@ -156,7 +162,34 @@ class Study:
         if t.measurement is not None:
             sources.append(("LAB", t.measurement, "measurement_concept_id"))
             concepts["LAB"] = vo.lab_concepts(t.concept, self.lab_prefixes)
-        return vo.count_tokens(self.training(vo.coded_records(sources)), vo.streams_of(concepts))
+        return vo.coded_records(sources), concepts
+
+    def vocab_rows(self) -> DataFrame:
+        """Coded records that the vocabulary is fitted on."""
+        return self.training(self.code_sources()[0])
+
+    def token_counts(self) -> DataFrame:
+        """(stream, token, n) over the coded records of training persons."""
+        return vo.count_tokens(self.vocab_rows(), vo.streams_of(self.code_sources()[1]))
+
+    def _fingerprints(self, rows: dict[str, DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, [au.fingerprint(df, name) for name, df in rows.items()])
+
+    @cached_property
+    def fit_log(self) -> DataFrame:
+        """Fingerprint of the rows behind each fitted artefact, to be kept beside it."""
+        return stage(self._fingerprints(self.reference_rows() | {"vocab": self.vocab_rows()}), "fit-log")
+
+    def leakage(self, fit_log: DataFrame | None = None) -> DataFrame:
+        """Audit of a log (this study's by default) against the rows of persons in the training split, and no others."""
+        train = self.splits.where(F.col("split") == "train").select("person_id").distinct()
+        allowed = {"hr_cuts": self.hr_sums, "steps_cuts": self.steps_by_day}
+        if self.params.reference_persons is not None:
+            sample = self.reference_persons()
+            allowed = {name: df.join(sample, "person_id", "left_semi") for name, df in allowed.items()}
+        allowed["vocab"] = self.code_sources()[0]
+        may = self._fingerprints({name: df.join(train, "person_id", "left_semi") for name, df in allowed.items()})
+        return au.leakage(self.fit_log if fit_log is None else fit_log, may)
 
     @cached_property
     def vocab(self) -> DataFrame:

@@ -9,6 +9,7 @@ from vitalstrand.config import StudyParams, uniform_stride
 from vitalstrand.sources.tables import ClinicalTables, codeset_table, conform
 
 CODESETS = {"afib": ["E0"], "mi": ["M1", "P2"], "cardio_mortality": []}
+HF_CODESET = {"hf": ["S", "E1", "E2"]}
 LAB_PREFIXES = ("E1", "L0", "M2", "P0", "S1")
 
 HISTORY_PARAMS = StudyParams()
@@ -108,6 +109,7 @@ def clinical_history(spark: SparkSession, sf_dir: str) -> ClinicalTables:
                 code.alias("condition_concept_id"),
                 code.alias("condition_source_concept_id"),
                 F.col("l_orderkey").alias("visit_occurrence_id"),
+                F.when(F.col("l_linenumber") % 2 == 1, 32902).otherwise(32908).alias("condition_status_concept_id"),
             ),
             "condition_occurrence",
         ),
@@ -142,6 +144,7 @@ def clinical_history(spark: SparkSession, sf_dir: str) -> ClinicalTables:
                 .alias("visit_concept_id"),
                 F.col("o_orderdate").cast("date").alias("visit_start_date"),
                 F.date_add(F.col("o_orderdate").cast("date"), 2).alias("visit_end_date"),
+                F.col("o_custkey").alias("person_id"),
             ),
             "visit_occurrence",
         ),

@@ -15,9 +15,9 @@ SCHEMAS = {
     "heart_rate_minute_level": "person_id BIGINT, datetime TIMESTAMP, heart_rate_value DOUBLE",
     "steps_intraday": "person_id BIGINT, datetime TIMESTAMP, steps DOUBLE",
     "condition_occurrence": "person_id BIGINT, condition_start_date DATE, condition_concept_id BIGINT, "
-    "condition_source_concept_id BIGINT, visit_occurrence_id BIGINT",
+    "condition_source_concept_id BIGINT, visit_occurrence_id BIGINT, condition_status_concept_id BIGINT",
     "visit_occurrence": "visit_occurrence_id BIGINT, visit_concept_id BIGINT, visit_start_date DATE, "
-    "visit_end_date DATE",
+    "visit_end_date DATE, person_id BIGINT",
     "drug_exposure": "person_id BIGINT, drug_exposure_start_date DATE, drug_concept_id BIGINT",
     "procedure_occurrence": "person_id BIGINT, procedure_date DATE, procedure_concept_id BIGINT",
     "measurement": "person_id BIGINT, measurement_date DATE, measurement_concept_id BIGINT, value_as_number DOUBLE",
