@@ -14,7 +14,7 @@ SMALL, MIDDLE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 D = dt.date
 
 
-@pytest.mark.parametrize("name, sf_dir", [("endpoint_hf", MIDDLE), ("leakage_audit", SMALL)])
+@pytest.mark.parametrize("name, sf_dir", [("endpoint_hf", MIDDLE), ("leakage_audit", SMALL), ("vocab_totals", SMALL), ("id_range_report", SMALL), ("split_overlap_reserved", SMALL)])
 def test_queries_match_their_oracles(spark, name, sf_dir):
     ok, note = compare(spark, oracle_connection(sf_dir), name, sf_dir)
     assert ok and not note.startswith("0 rows"), note

@@ -118,6 +118,14 @@ def vocab_stats(counts: DataFrame) -> DataFrame:
     return per.select("stream", "n_unique", kept.alias("n_kept"), (lo + kept).cast("long").alias("id_space"))
 
 
+def vocab_totals(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """One row: distinct tokens counted, those that got an id, those dropped for want of room, and the highest id plus one."""
+    counted = counts.select(F.lit(1).alias("counted"), F.lit(None).cast("int").alias("tid"), F.lit(0).alias("kept"))
+    held = vocab.select(F.lit(0).alias("counted"), "tid", F.col("n").isNotNull().cast("int").alias("kept"))
+    sums = counted.unionByName(held).agg(F.sum("counted").alias("n_unique"), F.sum("kept").alias("n_kept"), F.max("tid").alias("top"))
+    return sums.select("n_unique", "n_kept", (F.col("n_unique") - F.col("n_kept")).alias("n_dropped"), (F.col("top") + 1).cast("long").alias("id_space"))
+
+
 def with_ids(concepts: DataFrame, vocab: DataFrame) -> DataFrame:
     """(concept_id, tid): the lookup a record joins once; a token outside the vocabulary is unknown."""
     ids = concepts.join(vocab.select("token", "tid"), "token", "left")

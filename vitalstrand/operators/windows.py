@@ -212,6 +212,15 @@ def id_range_violations(sequences: DataFrame, vocab_size: int | Column) -> DataF
     return sequences.withColumn("max_id", max_id(F.col("input_ids"))).where(F.col("max_id") >= vocab_size)
 
 
+def id_range_report(sequences: DataFrame, vocab_size: int) -> DataFrame:
+    """One row: windows, their highest id, the vocabulary's size and the windows that hold an id outside it."""
+    top = sequences.select(max_id(F.col("input_ids")).alias("m"))
+    return top.agg(
+        F.count(F.lit(1)).alias("n_windows"), F.max("m").alias("max_id"), F.lit(vocab_size).cast("long").alias("id_space"),
+        F.count(F.when(F.col("m") >= vocab_size, 1)).alias("n_outside"),
+    )
+
+
 def trailing_window(
     samples: DataFrame, anchors: DataFrame, days: int = 30, strict_start: bool = True, strict_end: bool = True
 ) -> DataFrame:

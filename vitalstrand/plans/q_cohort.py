@@ -402,6 +402,21 @@ def split_overlap(spark, sf_dir):
     return co.split_overlap(history(spark, sf_dir).splits)
 
 
+@query(
+    "split_overlap_reserved",
+    compose(
+        H,
+        "SELECT CAST(person_id AS BIGINT) AS person_id, MIN(split) AS first_split, MAX(split) AS last_split FROM (SELECT person_id, split "
+        "FROM splits UNION ALL SELECT person_id, 'test' FROM splits WHERE has_event = 1) GROUP BY person_id HAVING COUNT(DISTINCT split) > 1",
+    ),
+)
+def split_overlap_reserved(spark, sf_dir):
+    """Persons that a second list, which reserves everyone with an event for testing, places in another split."""
+    splits = history(spark, sf_dir).splits
+    reserved = splits.where("has_event = 1").select("person_id", F.lit("test").alias("split"))
+    return co.split_overlap(splits.select("person_id", "split").unionByName(reserved))
+
+
 _TRAIN = "person_id IN (SELECT person_id FROM train)"
 
 
@@ -497,3 +512,16 @@ def vocab(spark, sf_dir):
 )
 def vocab_stats(spark, sf_dir):
     return vo.vocab_stats(history(spark, sf_dir).token_counts())
+
+
+@query(
+    "vocab_totals",
+    compose(
+        H,
+        "SELECT n_unique, n_kept, n_unique - n_kept AS n_dropped, CAST(top AS BIGINT) AS id_space FROM "
+        "(SELECT COUNT(*) AS n_unique FROM token_counts), (SELECT COUNT(n) AS n_kept, MAX(tid) + 1 AS top FROM vocab)",
+    ),
+)
+def vocab_totals(spark, sf_dir):
+    s = history(spark, sf_dir)
+    return vo.vocab_totals(s.token_counts(), s.vocab)

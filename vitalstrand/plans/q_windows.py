@@ -171,6 +171,20 @@ def id_range_violations(spark, sf_dir):
     return bad.select("person_id", "end_date", "max_id")
 
 
+@query(
+    "id_range_report",
+    compose(
+        D,
+        "SELECT COUNT(*) AS n_windows, CAST(MAX(list_max(ids)) AS BIGINT) AS max_id, CAST(MAX(top) AS BIGINT) AS id_space, "
+        "COUNT(*) FILTER (WHERE list_max(ids) >= top) AS n_outside FROM seqs, (SELECT MAX(tid) + 1 AS top FROM vocab)",
+    ),
+)
+def id_range_report(spark, sf_dir):
+    """Windows against the size of the study's own vocabulary."""
+    s = dense(spark, sf_dir)
+    return wi.id_range_report(s.sequences(), s.id_space)
+
+
 @query(
     "trailing_window",
     compose(

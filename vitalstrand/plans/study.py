@@ -195,6 +195,11 @@ class Study:
     def vocab(self) -> DataFrame:
         return stage(vo.build_vocab(self.token_counts()), "vocab")
 
+    @cached_property
+    def id_space(self) -> int:
+        """Highest id of the vocabulary plus one: ids a model must hold."""
+        return self.vocab.agg(F.max("tid")).head()[0] + 1
+
     @cached_property
     def code_ids(self) -> DataFrame:
         """(stream, concept_id, token, tid) for the streams the windows read."""
